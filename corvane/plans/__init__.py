@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nested",)
+MODULES = ("retrieval", "evaluation", "preferences", "nested")
 
 
 def registered() -> tuple[dict, dict]:
