@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
-
-def bounded_heap(value: Column, n: int) -> Column:
-    """Aggregate: the ``n`` smallest values in ascending order, in a heap of at most ``n`` that is built before the shuffle
-    and merged behind it."""
-    return InternalFunction._invoke_internal_function_over_columns("collect_top_k", value, F.lit(n), F.lit(True))
+from ..operators.heaps import smallest
 
 
 def top_n(df: DataFrame, group: list[str], item: str, score: str, n: int) -> DataFrame:
@@ -30,6 +25,6 @@ def top_n(df: DataFrame, group: list[str], item: str, score: str, n: int) -> Dat
     keys = [f"g{i}" for i in range(len(group))]
     best = rows.groupBy(*keys, "i").agg(F.max("s").alias("s"))
     # 0.0 - s makes ascending order mean higher scores first and turns -0.0 into 0.0
-    heaps = best.groupBy(*keys).agg(bounded_heap(F.struct((F.lit(0.0) - F.col("s")).alias("o"), F.col("i"), F.col("s")), n).alias("h"))
+    heaps = best.groupBy(*keys).agg(smallest(F.struct((F.lit(0.0) - F.col("s")).alias("o"), F.col("i"), F.col("s")), n).alias("h"))
     out = heaps.select(*keys, F.posexplode("h").alias("p", "e"))
     return out.select(*(F.col(k).alias(c) for k, c in zip(keys, group)), F.col("e.i").alias(item), F.col("e.s").alias(score), (F.col("p") + 1).alias("place"))
