@@ -270,5 +270,5 @@ ORACLE = {
  with r as (select event_id, {_REPLY} as reply from events)
  select event_id, case when regexp_full_match(trim(reply), '0(\\.\\d+)?|1(\\.0+)?') then try_cast(trim(reply) as double) end as strict,
   coalesce(least(1.0, greatest(0.0, try_cast(nullif(regexp_extract(reply, '([\\d.]+)', 1), '') as double))), 0.0) as lenient,
-  list_filter(list_transform(list_filter(string_split(trim(reply), ' '), x -> x != ''), x -> try_cast(x as double)), x -> x >= 1 and x <= 10)[1] as ten_point from r""",
+  list_filter(list_transform(list_filter(string_split(trim(reply), ' '), lambda x: x != ''), lambda x: try_cast(x as double)), lambda x: x >= 1 and x <= 10)[1] as ten_point from r""",
 }

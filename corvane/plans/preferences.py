@@ -193,7 +193,7 @@ _GROUPS = (
 _BL = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _SQ = lambda c: f"regexp_replace(regexp_replace({c}, '[{_BL}]+', ' ', 'g'), '^[{_BL}]+|[{_BL}]+$', '', 'g')"
 _KEY = lambda c: f"trim({_SQ(c)}, ' .،؛:!?؟\"''«»')"
-_TOK = lambda c: f"list_distinct(list_filter(string_split({_SQ(c)}, ' '), x -> x != ''))"
+_TOK = lambda c: f"list_distinct(list_filter(string_split({_SQ(c)}, ' '), lambda x: x != ''))"
 _JAC = lambda a, b: f"len(list_intersect({_TOK(a)}, {_TOK(b)})) * 1.0 / greatest(1, len(list_distinct(list_concat({_TOK(a)}, {_TOK(b)}))))"
 _CANDS = """
 with p as (select distinct pair_id, question_ref, persona_id, chosen, rejected, chosen_score, rejected_score from dpo_pairs),

@@ -193,7 +193,7 @@ ORACLE = {
     "token_fidelity": f"select pair_id, round(len(list_intersect({_SRC}, {_GOT})) / nullif(len({_SRC}), 0), 6) as fidelity from (select distinct pair_id, query, chosen from dpo_pairs)",
     "repeated_trigrams": f"""
  with t as (select distinct chunk_id, section_type, text from chunks),
-  w as (select chunk_id, section_type, list_filter(regexp_split_to_array(text, '[{_B}]+'), x -> x != '') as ws from t),
+  w as (select chunk_id, section_type, list_filter(regexp_split_to_array(text, '[{_B}]+'), lambda x: x != '') as ws from t),
   g as (select chunk_id, unnest(range(1, greatest(len(ws) - 1, 1))) as i, ws from w),
   r as (select chunk_id, count(*) as n, count(distinct list_aggregate(ws[i:i + 2], 'string_agg', ' ')) as k from g group by 1)
  select section_type, count(*) as n, round(avg(case when coalesce(k, 0) < coalesce(r.n, 0) then 1.0 else 0.0 end), 6) as rate from w left join r using (chunk_id) group by 1""",
