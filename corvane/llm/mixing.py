@@ -72,9 +72,9 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, targets: DataFr
     offset = F.pmod(F.xxhash64(F.lit(seed + 1), "source"), F.lit(1 << 30)) / float(1 << 30)
     upto = lambda n: F.floor(offset + n * F.col("repeats") + 1e-9)
     at = F.col("before") + F.col("i")
-    mixed = used.withColumn("copies", (upto(at) - upto(at - 1)).cast("int")).filter("copies > 0").select(F.col("k").alias(key), "source", "tokens", "copies")
+    mixed = used.withColumn("copies", (upto(at) - upto(at - 1)).cast("int")).filter("copies > 0").select("k", "source", "tokens", "copies")
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("m"))
     report = plan.join(got.select(F.col("source").alias("name"), "m"), "name", "left").withColumn("mixed_tokens", F.coalesce("m", F.lit(0)))
     everything = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     report = report.withColumn("actual_share", F.when(everything > 0, F.col("mixed_tokens") / everything).otherwise(0.0))
-    return mixed, report.select("source", F.col("tokens").cast("long").alias("tokens"), "target_share", "max_repeats", "capped", "mixed_tokens", "actual_share")
+    return mixed.withColumnRenamed("k", key), report.select("source", F.col("tokens").cast("long").alias("tokens"), "target_share", "max_repeats", "capped", "mixed_tokens", "actual_share")

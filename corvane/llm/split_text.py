@@ -63,7 +63,8 @@ def successors(code: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray,
     low_gap = np.where(low >= 0, want - low, n + 1)
     high_gap = np.where((high <= n) & (high < end), high - want, n + 1)
     near = np.where(low_gap <= high_gap, low, high)
-    start = np.where(np.minimum(low_gap, high_gap) <= max(1, overlap // 2), near, want)
+    # not before the latter half of its room, or the next piece might end where this one does
+    start = np.where((np.minimum(low_gap, high_gap) <= max(1, overlap // 2)) & (near >= end - limit // 2), near, want)
     start = np.where(start <= p, np.maximum(want, p + 1), start)  # every piece starts behind the one before
     start = np.minimum(start, end)
     return end, np.where(end >= n, n, start)

@@ -21,7 +21,7 @@ def make(rng, n):
     return "".join(rng.choice(["واژه", "a", "bc", " ", " ", ". ", "\n", "\n\n", "😀", "؟ ", "ک‌ل"]) for _ in range(n))
 
 
-@pytest.mark.parametrize(("limit", "overlap"), [(800, 150), (40, 10), (10, 0), (7, 3)])
+@pytest.mark.parametrize(("limit", "overlap"), [(800, 150), (40, 10), (10, 0), (9, 3), (100, 49)])
 def test_doubling_equals_walking(limit, overlap):
     rng = random.Random(limit)
     texts = [make(rng, rng.randint(0, 900)) for _ in range(40)] + ["", "   ", "x" * 5000, "a" * limit, "a" * (limit + 1)]
