@@ -147,7 +147,7 @@ def label_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     """Judge samples: candidates are arms of a case, replicates their attempts."""
-    return _records(spark, d).filter("replicate < 8").withColumn("raw", F.col("second").cast("string")).withColumn("score", F.col("score").cast("double"))
+    return _records(spark, d).withColumn("raw", F.col("second").cast("string")).withColumn("score", F.col("score").cast("double"))
 
 
 def noise_determinism(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +221,7 @@ _CONTESTS = """, c as (
  p as (select *, case result when 'win' then 1.0 when 'tie' then 0.5 else 0.0 end as points from c),
  jobs as (select "left", "right", case_id, replicate, sha256("left" || chr(0) || "right" || chr(0) || case_id || chr(0) || replicate) as job_key from c),
  oriented as (select *, row_number() over (partition by "left", "right" order by job_key) <= count(*) over (partition by "left", "right") // 2 as left_first from jobs)"""
-_SPREAD = ", s as (select * from rec where replicate < 8), sp as (select case_id, arm, avg(score) as mean, stddev_samp(score) as sd, count(score) as n from s group by 1, 2 having count(score) >= 2)"
+_SPREAD = ", s as (select * from rec), sp as (select case_id, arm, avg(score) as mean, stddev_samp(score) as sd, count(score) as n from s group by 1, 2 having count(score) >= 2)"
 _BANDS = " + ".join(f"case when mean >= {lo} then 1 else 0 end" for lo in EDGES[1:-1])
 _CAND = _SPREAD + """, cd as (
   select case_id, a.arm as left, b.arm as right, avg(a.score - b.score) as delta, stddev_samp(a.score - b.score) as sd, count(*) as n
@@ -258,7 +258,7 @@ ORACLE = {
     "orientation_balance": _REC + _CONTESTS + 'select "left", "right", count(case when left_first then 1 end) as left_a, count(case when not left_first then 1 end) as right_a, abs(count(case when left_first then 1 end) - count(case when not left_first then 1 end)) <= 1 as balanced from oriented group by 1, 2',
     "orientation_jobs": _REC + _CONTESTS + 'select "left", "right", case_id, cast(replicate as integer) as replicate, job_key, left_first from oriented',
     "noise_determinism": _REC
-    + ", s as (select * from rec where replicate < 8 and score is not null), c as (select case_id, arm, count(distinct second) as replies, count(distinct score) as scores from s group by 1, 2 having count(*) >= 2) select count(*) as candidates, round(avg(case when replies = 1 then 1.0 else 0.0 end), 6) as same_reply, round(avg(case when scores = 1 then 1.0 else 0.0 end), 6) as same_score from c",
+    + ", s as (select * from rec where score is not null), c as (select case_id, arm, count(distinct second) as replies, count(distinct score) as scores from s group by 1, 2 having count(*) >= 2) select count(*) as candidates, round(avg(case when replies = 1 then 1.0 else 0.0 end), 6) as same_reply, round(avg(case when scores = 1 then 1.0 else 0.0 end), 6) as same_score from c",
     "noise_spread": _REC + _SPREAD + "select count(*) as n, round(avg(sd), 6) as mean, round(quantile_cont(sd, 0.5), 6) as p50, round(quantile_cont(sd, 0.9), 6) as p90, round(max(sd), 6) as max from sp",
     "noise_bands": _REC
     + _SPREAD

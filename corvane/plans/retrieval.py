@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import markdown, retrieval
+from ..operators import heaps, markdown, retrieval
 from ..session import table
 
 # The same class as functions.text.BLANKS, for the SQL engine's regular expressions.
@@ -58,12 +58,13 @@ def dense_top5(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense_top_k(q, v, "vec_id", "embedding", 5)
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    """Synthetic grades of a pool of rows with the query's label."""
+def _judged(spark: SparkSession, d: str, pool: int = 20) -> DataFrame:
+    """Synthetic grades of each query's candidate pool: ``pool`` rows of its label, picked by a fixed hash in a heap."""
     q, v = _vectors(spark, d)
     pairs = q.select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("query_id != doc_id")
-    pairs = pairs.filter("(query_id * 31 + doc_id * 17) % 5 = 0")
-    return pairs.select("query_id", "doc_id", (((F.col("query_id") * 7919 + F.col("doc_id") * 104729) % 1001) / 1000.0).alias("gain"))
+    entry = F.struct(((F.col("query_id") * 31 + F.col("doc_id") * 17) % 1009).alias("h"), "doc_id")
+    picked = pairs.groupBy("query_id").agg(heaps.smallest(entry, pool).alias("p")).select("query_id", F.explode("p.doc_id").alias("doc_id"))
+    return picked.select("query_id", "doc_id", (((F.col("query_id") * 7919 + F.col("doc_id") * 104729) % 1001) / 1000.0).alias("gain"))
 
 
 def ranking_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +152,7 @@ with q as (select vec_id as query_id, label as ql, cast(embedding as double[]) a
  v as (select vec_id as doc_id, label as dl, cast(embedding as double[]) as dv from embeddings),
  sims as (select query_id, doc_id, ql, dl, round(list_dot_product(qv, dv), 6) as sim, list_dot_product(qv, dv) as raw from q cross join v),
  ranks as (select *, row_number() over (partition by query_id order by sim desc, doc_id) as rank from sims where query_id != doc_id),
- judged as (select *, ((query_id * 7919 + doc_id * 104729) % 1001) / 1000.0 as gain from ranks where ql = dl and (query_id * 31 + doc_id * 17) % 5 = 0),
+ judged as (select *, ((query_id * 7919 + doc_id * 104729) % 1001) / 1000.0 as gain from (select *, row_number() over (partition by query_id order by (query_id * 31 + doc_id * 17) % 1009, doc_id) as pick from ranks where ql = dl) where pick <= 20),
  ideal as (select *, row_number() over (partition by query_id order by gain desc, doc_id) as ideal from judged),
  per as (
   select query_id, any_value(ql) as label, {cols},
