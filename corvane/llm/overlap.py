@@ -23,18 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .lookalike import table_form
+from .lookalike import mapper, table_form
 
 WORD = re.compile(r"\w+")
 # Letters that stand for one letter whatever their form, and marks inside words.
 LIKE = str.maketrans({"ي": "ی", "ى": "ی", "ك": "ک", "ة": "ه", "ۀ": "ه", "‌": None, "‍": None, "ـ": None} | {chr(c): None for c in range(0x64B, 0x656)} | {c: str(i % 10) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹")})
+like = mapper(LIKE)
 CELL = 2_048
 TAIL = 6
 
 
 def plain_words(text: str | None) -> list[str]:
     """Distinct words of a text, look-alike characters in one form, case and punctuation ignored, in order of code point."""
-    return sorted(set(WORD.findall(table_form(text).translate(LIKE).lower().replace("_", " ")))) if text else []
+    return sorted(set(WORD.findall(like(table_form(text)).lower().replace("_", " ")))) if text else []
 
 
 def reach(n: int, share: float) -> int:
