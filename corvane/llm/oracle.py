@@ -10,7 +10,6 @@ with best as (
   select *, row_number() over (partition by question_ref, persona_id order by score desc, chunk_id) as place from best
 )
 """
-_NAME = r"regexp_replace(lower(trim(source, E' \t\n\r')), '[\s_‐‑‒–—―−-]+', '-', 'g')"
 
 ORACLE = {
     "p1_found": r"select distinct chunk_id from chunks where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 800",
