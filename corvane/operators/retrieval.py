@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import heaps
 
 
 def chunk_windows(df: DataFrame, key: str, text: str, size: int = 800, overlap: int = 150) -> DataFrame:
@@ -115,6 +116,17 @@ def full_ranks(judged: DataFrame, queries: DataFrame, corpus: DataFrame, key: st
     return judged.join(ranks, ["query_id", "doc_id"])
 
 
+def deciding_ranks(judged: DataFrame, queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int = 5, m: int = 3) -> DataFrame:
+    """Those rows of ``judged``, with ``rank``, that ``ranking_quality`` can't do without: each query's ``max(k, m)`` best by
+    gain and the judged ones among its ``k`` nearest. All other rows add nothing to any of its figures, so they equal those of
+    ``full_ranks`` over all of ``judged``, while no query's judged documents are ever gathered."""
+    best = judged.groupBy("query_id").agg(heaps.smallest(F.struct((-F.col("gain")).alias("g"), "doc_id"), max(k, m)).alias("b"))
+    best = best.select("query_id", F.explode("b.doc_id").alias("doc_id"))
+    near = dense_top_k(queries, corpus, key, vector, k + 1).filter("query_id != doc_id").select("query_id", "doc_id")  # the query itself may be one
+    few = judged.join(best.unionByName(near).distinct(), ["query_id", "doc_id"])
+    return full_ranks(few, queries, corpus, key, vector)
+
+
 def ranking_quality(ranked: DataFrame, k: int = 5, m: int = 3) -> DataFrame:
     """Per query nDCG@1..k, Hit@1..k, Recall@k, the reciprocal rank in the full ranking and judged@k.
 
@@ -152,3 +164,16 @@ def kd_loss(teacher: Column, student: Column, t_teacher: float, t_student: float
 
     p, q = log_softmax(teacher, t_teacher), log_softmax(student, t_student)
     return F.aggregate(F.zip_with(p, q, lambda a, b: F.exp(a) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+
+
+def whole_losses(judged: DataFrame, mnrl: float, t_teacher: float, t_student: float) -> DataFrame:
+    """``mnrl_loss`` and ``kd_loss`` per query over all its rows of ``judged`` (query_id, doc_id, gain, sim), the smallest
+    document being the positive one. Sums, not arrays, so a query may have any number of rows."""
+    tops = judged.groupBy("query_id").agg(F.max("sim").alias("top"), F.max("gain").alias("gtop"), F.min_by("sim", "doc_id").alias("pos"))
+    j = judged.join(tops, "query_id")
+    s, g = F.col("sim") - F.col("top"), F.col("gain") - F.col("gtop")
+    p = F.exp(g / t_teacher)
+    sums = j.groupBy("query_id").agg(
+        F.first("top").alias("top"), F.first("pos").alias("pos"), F.sum(F.exp(s / mnrl)).alias("zm"), F.sum(F.exp(s / t_student)).alias("zs"), F.sum(p).alias("zt"), F.sum(p * (g / t_teacher - s / t_student)).alias("d")
+    )
+    return sums.select("query_id", (F.log("zm") + (F.col("top") - F.col("pos")) / mnrl).alias("mnrl"), (F.col("d") / F.col("zt") - F.log("zt") + F.log("zs")).alias("kd"))

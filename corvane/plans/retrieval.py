@@ -94,6 +94,38 @@ def training_losses(spark: SparkSession, d: str) -> DataFrame:
     return g.select("query_id", F.round(retrieval.mnrl_loss(sims, 0.05), 5).alias("mnrl"), F.round(retrieval.kd_loss(gains, sims, 0.25, 0.1), 5).alias("kd"))
 
 
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    """The grades of ``_judged`` for every row of the query's label, with similarities."""
+    q, v = _vectors(spark, d)
+    pairs = q.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("qv")).join(v.select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("dv")), "label").filter("query_id != doc_id")
+    gain = ((F.col("query_id") * 7919 + F.col("doc_id") * 104729) % 1001) / 1000.0
+    return pairs.select("query_id", "doc_id", gain.alias("gain"), retrieval.dot(F.col("qv"), F.col("dv")).alias("sim"))
+
+
+def _whole_quality(spark: SparkSession, d: str) -> DataFrame:
+    q, v = _vectors(spark, d)
+    return retrieval.ranking_quality(retrieval.deciding_ranks(_graded(spark, d).drop("sim"), q, v, "vec_id", "embedding"))
+
+
+def ranking_quality_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``ranking_quality`` with every row of the query's label graded."""
+    out = _whole_quality(spark, d)
+    return out.select("query_id", *(F.round(c, 6).alias(c) for c in out.columns if c != "query_id"))
+
+
+def ranking_means_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``ranking_means`` with every row of the query's label graded."""
+    q, _ = _vectors(spark, d)
+    per = _whole_quality(spark, d).join(q.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    return per.rollup("label").agg(*(F.round(F.avg(c), 5).alias(c) for c in ("ndcg5", "hit5", "recall", "mrr", "judged")))
+
+
+def training_losses_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``training_losses`` over every row of the query's label, the smallest id being the positive one."""
+    out = retrieval.whole_losses(_graded(spark, d), 0.05, 0.25, 0.1)
+    return out.select("query_id", F.round("mnrl", 5).alias("mnrl"), F.round("kd", 5).alias("kd"))
+
+
 def heading_blocks(spark: SparkSession, d: str) -> DataFrame:
     return markdown.heading_blocks(table(spark, d, "documents"), "doc_id", "text")
 
@@ -119,7 +151,7 @@ def repeated_trigrams(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (chunk_windows, chunk_stats, index_terms, bm25_top5, context_prompts, dense_top5, ranking_quality, ranking_means, training_losses, heading_blocks, lesson_chunks, token_fidelity, repeated_trigrams)
+    for f in (chunk_windows, chunk_stats, index_terms, bm25_top5, context_prompts, dense_top5, ranking_quality, ranking_means, training_losses, ranking_quality_whole, ranking_means_whole, training_losses_whole, heading_blocks, lesson_chunks, token_fidelity, repeated_trigrams)
 }
 
 _WINDOWS = f"""
