@@ -5,10 +5,10 @@ Jaccard similarity of at least ``share``, the first few common words leave a pai
 sequences (there are more gaps between them than words that differ). So the suffixes that can begin a shared span start
 early in a sequence, and every similar pair has two such suffixes with a common prefix of two words or more.
 
-The sequences' suffixes are partitioned by their first two words. Each partition is a suffix array: its suffixes are
-sorted, common prefixes of neighbours measured, and within a run of neighbours with long common prefixes the suffixes of
-different splits give the shared spans, which are merged into the coverage of a pair. Partitions of frequent beginnings
-are cut into a grid of cells, so that no task gets more than a bounded number of suffixes.
+The sequences' suffixes are partitioned by their first two words. Each partition's suffixes are sorted by these words, and
+within a run of equal ones the suffixes of different splits are candidates. Partitions of frequent beginnings are cut into
+a grid of cells, so that no task gets more than a bounded number of suffixes. Coverage is computed from the whole sequences
+of those pairs that the exact check keeps.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ WORD = re.compile(r"\w+")
 LIKE = str.maketrans({"ي": "ی", "ى": "ی", "ك": "ک", "ة": "ه", "ۀ": "ه", "‌": None, "‍": None, "ـ": None} | {chr(c): None for c in range(0x64B, 0x656)} | {c: str(i % 10) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹")})
 like = mapper(LIKE)
 CELL = 2_048
-TAIL = 6
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -51,20 +50,30 @@ def reach(n: int, share: float) -> int:
     return min(n, most)
 
 
+def coverage(a: list, b: list) -> float:
+    """The share of b's words in spans of two words or more that follow each other in both sequences of distinct words; a
+    single word that is the whole of both counts as covered."""
+    if len(b) == 1:
+        return float(len(a) == 1 and a[0] == b[0])
+    shared = set(zip(a, a[1:]))
+    starts = [p in shared for p in zip(b, b[1:])]
+    return sum(x or y for x, y in zip([*starts, False], [False, *starts])) / len(b)
+
+
 def _suffix_pairs(share: float):
     """Function on the suffixes of one cell: pairs of texts of different splits whose sequences share a span here."""
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Sorts the cell's suffixes and measures common prefixes; pairs whose word sets differ too much are left out by
-        the bits of their word sets, of which each differing word changes at most one."""
-        none = pd.DataFrame({"a": [], "b": [], "at_a": [], "at_b": [], "span": []})
-        tail = np.stack(pdf.tail_words.to_numpy())  # suffixes, cut after TAIL words and padded
+        """Sorts the cell's suffixes by their first two words; pairs whose word sets differ too much are left out by the
+        bits of their word sets, of which each differing word changes at most one."""
+        none = pd.DataFrame({"a": [], "b": []})
+        tail = np.stack(pdf.start.to_numpy())
         order = np.lexsort(tail.T[::-1])
         pdf, tail = pdf.iloc[order].reset_index(drop=True), tail[order]
-        same = np.concatenate([[False], (tail[1:, :2] == tail[:-1, :2]).all(1)])
-        run = np.cumsum(~same)  # runs of neighbours with a common prefix of two words or more
+        same = np.concatenate([[False], (tail[1:] == tail[:-1]).all(1)])
+        run = np.cumsum(~same)  # runs of suffixes with the same two words in front
         bits = np.stack(pdf.bits.to_numpy()).view(np.uint64)
-        cls, size, pos = pdf.cls.to_numpy(), pdf.n.to_numpy(), pdf.pos.to_numpy()
+        cls, size = pdf.cls.to_numpy(), pdf.n.to_numpy()
         train, evals = np.flatnonzero(pdf.train.to_numpy()), np.flatnonzero(pdf.evals.to_numpy())
         out = []
         starts = np.searchsorted(run[train], run[evals], "left")
@@ -79,11 +88,8 @@ def _suffix_pairs(share: float):
             ok = (cls[e] != cls[t]) & (np.abs(size[e] - size[t]) <= differ)
             e, t, differ = e[ok], t[ok], differ[ok]
             ok = np.bitwise_count(bits[e] ^ bits[t]).sum(1) <= differ + 1e-9
-            e, t = e[ok], t[ok]
-            both = (tail[e] == tail[t]) & (tail[e] >= 0)
-            span = np.where(both.all(1), TAIL, both.argmin(1))
-            out.append(pd.DataFrame({"a": cls[t], "b": cls[e], "at_a": pos[t], "at_b": pos[e], "span": span}))
-        return pd.concat(out) if out else none
+            out.append(pd.DataFrame({"a": cls[t[ok]], "b": cls[e[ok]]}))
+        return pd.concat(out).drop_duplicates() if out else none
 
     return pairs
 
@@ -102,8 +108,8 @@ def text_classes(records: DataFrame, text: str) -> DataFrame:
 
 def similar_classes(records: DataFrame, share: float = 0.75) -> DataFrame:
     """Pairs (a, b) of word sets, a of a training and b of an evaluation record, with Jaccard similarity of at least
-    ``share``: also ``similarity``, and ``coverage``, the share of b's words in spans shared with a. ``records`` has
-    ``cls``, ``words`` and ``is_train``. A class occurs once however many records have it."""
+    ``share``: also ``similarity``, and ``coverage``, the share of b's words in spans shared with a (see the function of
+    that name). ``records`` has ``cls``, ``words`` and ``is_train``. A class occurs once however many records have it."""
     if not 0.75 <= share <= 1:
         raise ValueError("the share must be from 0.75 to 1")
     classes = records.filter("cls is not null").groupBy("cls").agg(
@@ -113,7 +119,7 @@ def similar_classes(records: DataFrame, share: float = 0.75) -> DataFrame:
     spread = classes.select("cls", F.explode("words").alias("w"))
     often = spread.groupBy("w").agg(F.count("*").alias("df"))
     ranked = spread.join(often, "w").select("cls", F.struct("df", F.xxhash64("w").alias("h"), F.hash("w").alias("w")).alias("r"))
-    order = ranked.groupBy("cls").agg(F.array_sort(F.collect_list("r")).alias("s"))  # at most the words of one text
+    order = materialize(ranked.groupBy("cls").agg(F.array_sort(F.collect_list("r")).alias("s")))  # at most the words of one text
     n = F.size("s")
     seq = order.select("cls", F.transform("s", lambda x: F.pmod(x.w, F.lit(2**31 - 1))).alias("s"), n.alias("n"))
     bits = F.expr("transform(sequence(0, 3), k -> aggregate(filter(s, x -> pmod(shiftright(x, 6), 4) = k), 0L, (m, x) -> m | shiftleft(1L, cast(pmod(x, 64) as int))))")
@@ -122,10 +128,9 @@ def similar_classes(records: DataFrame, share: float = 0.75) -> DataFrame:
     table = F.array(*[F.lit(reach(i, share)) for i in range(most + 1)])
     # beyond the table by a bound that holds for all lengths
     reached = F.when(F.col("n") <= most, F.element_at(table, F.least(F.col("n"), F.lit(most)) + 1)).otherwise(F.least(F.col("n"), F.ceil(F.col("n") * (2 - 2 * share)) + 3)).cast("int")
-    pad = F.array_repeat(F.lit(-1), TAIL)
     suffix = seq.filter("n >= 2").select("cls", "n", "bits", "train", "evals", "s", F.explode(F.sequence(F.lit(0), F.greatest(reached - 2, F.lit(0)))).alias("pos"))
-    suffix = suffix.select("cls", "n", "bits", (F.col("train") == 1).alias("train"), (F.col("evals") == 1).alias("evals"), "pos", F.slice(F.concat(F.slice("s", F.col("pos") + 1, TAIL), pad), 1, TAIL).alias("tail_words"))
-    suffix = materialize(suffix.withColumn("key", F.xxhash64(F.col("tail_words")[0], F.col("tail_words")[1])))
+    suffix = suffix.select("cls", "n", "bits", (F.col("train") == 1).alias("train"), (F.col("evals") == 1).alias("evals"), F.slice("s", F.col("pos") + 1, 2).alias("start"))
+    suffix = materialize(suffix.withColumn("key", F.xxhash64(F.col("start")[0], F.col("start")[1])))
     # beginnings seen in both splits only; frequent ones get a grid of cells
     freq = suffix.groupBy("key").agg(F.sum(F.col("train").cast("long")).alias("nt"), F.sum(F.col("evals").cast("long")).alias("ne")).filter("nt > 0 and ne > 0")
     freq = freq.select("key", F.ceil(F.col("nt") / CELL).cast("int").alias("gt"), F.ceil(F.col("ne") / CELL).cast("int").alias("ge"))
@@ -137,14 +142,19 @@ def similar_classes(records: DataFrame, share: float = 0.75) -> DataFrame:
     # small beginnings share a cell; a run of equal beginnings stays in one
     shared = max(16, suffix.count() // (2 * CELL))
     cells = cells.withColumn("cell", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod("key", F.lit(shared))).otherwise(F.xxhash64("key", "i", "j")))
-    schema = "a long, b long, at_a int, at_b int, span int"
-    found = cells.select("cell", "cls", "n", "bits", "train", "evals", "pos", "tail_words").groupBy("cell").applyInPandas(_suffix_pairs(share), schema)
-    spans = lambda at: F.flatten(F.collect_set(F.sequence(F.col(at), F.col(at) + F.col("span") - 1)))
-    pairs = found.groupBy("a", "b").agg(F.size(F.array_distinct(spans("at_b"))).alias("covered"))
+    found = cells.select("cell", "cls", "n", "bits", "train", "evals", "start").groupBy("cell").applyInPandas(_suffix_pairs(share), "a long, b long")
+    pairs = found.distinct()
     x, y = (classes.select(F.col("cls").alias(c), F.col("words").alias(f"w{c}")) for c in "ab")
     exact = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("wa", "wb")))
     exact = exact.withColumn("similarity", F.col("common") / (F.size("wa") + F.size("wb") - F.col("common")))
-    exact = exact.filter(F.col("similarity") >= share - 1e-12).select("a", "b", "similarity", (F.col("covered") / F.size("wb")).alias("coverage"))
+    exact = exact.filter(F.col("similarity") >= share - 1e-12).select("a", "b", "similarity")
+    p, q = (order.select(F.col("cls").alias(c), F.transform("s", lambda x: x.h).alias(f"s{c}")) for c in "ab")
+
+    @F.pandas_udf("double")
+    def covered(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([coverage(x.tolist(), y.tolist()) for x, y in zip(a, b)], index=a.index, dtype=float)
+
+    exact = exact.join(p, "a").join(q, "b").select("a", "b", "similarity", covered("sa", "sb").alias("coverage"))
     same = classes.filter("train = 1 and evals = 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage"))
     return exact.unionByName(same)
 

@@ -88,10 +88,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps per evaluation split and source."""
+    """Overlaps per evaluation split and source, with the coverage of the similar ones."""
     same = F.sum(F.col("same_ref").cast("long")).alias("same_question")
     near = F.sum(F.col("similarity").isNotNull().cast("long")).alias("similar_query")
-    return _overlaps(spark, d).groupBy("eval_split", "eval_source").agg(F.count("*").alias("pairs"), F.countDistinct("b").alias("eval_records"), same, near)
+    return _overlaps(spark, d).groupBy("eval_split", "eval_source").agg(F.count("*").alias("pairs"), F.countDistinct("b").alias("eval_records"), same, near, F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.min("coverage"), 6).alias("least_coverage"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -72,3 +72,33 @@ def test_forms_and_empty(spark):
     assert overlap.cross_split_overlaps(df.filter("1 = 0"), "k", "r", "t", "s", "o").count() == 0
     with pytest.raises(ValueError):
         overlap.similar_classes(df, 0.5)
+
+
+def runs_in_both(a, b):
+    """Share of b in runs of two words or more that are runs of a as well, by trying all of them."""
+    has = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 2, len(a) + 1)}
+    hit = {k for i in range(len(b)) for j in range(i + 2, len(b) + 1) if tuple(b[i:j]) in has for k in range(i, j)}
+    return len(hit) / len(b)
+
+
+def test_coverage_of_long_near_copies(spark):
+    """Spans count over whole sequences, also far behind the suffixes that find a pair."""
+    rng = random.Random(3)
+    rows, texts = [], []
+    for i, n in enumerate([2, 3, 12, 20, 40, 56, 100, 100]):
+        w = [f"t{i}x{j}" for j in range(n)]
+        near = list(w)
+        for j in rng.sample(range(n), n // 9):
+            near[j] = f"n{i}x{j}"
+        texts += [(i, w, "train"), (100 + i, near + [f"e{i}"] * (i % 2 and n > 3), "val")]
+    rows = [(k, f"r{k}", " ".join(w), s, "s") for k, w, s in texts] + [(900, "q", "alone", "train", "s"), (901, "p", "Alone!", "test", "s")]
+    got = {(x.a, x.b): x.coverage for x in overlap.cross_split_overlaps(spark.createDataFrame(rows, "k long, r string, t string, s string, o string"), "k", "r", "t", "s", "o").collect()}
+    sets = {tuple(overlap.plain_words(t)) for _, _, t, _, _ in rows}
+    words = sorted({w for x in sets for w in x})
+    code = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) h").collect()}
+    df = {w: sum(w in x for x in sets) for w in words}
+    seq = {k: sorted(overlap.plain_words(t), key=lambda w: (df[w], code[w])) for k, _, t, _, _ in rows}
+    assert set(got) == {(i, 100 + i) for i in range(8)} | {(900, 901)}
+    assert got.pop((900, 901)) == 1.0
+    assert got == pytest.approx({(a, b): runs_in_both(seq[a], seq[b]) for a, b in got})
+    assert got[6, 106] > 0.8 and got[5, 105] > 0.8
