@@ -58,3 +58,8 @@ def has_repeated_trigram(text: Column) -> Column:
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")),
     ).otherwise(F.array().cast("array<string>"))
     return F.size(F.array_distinct(grams)) < F.size(grams)
+
+
+def has_cloze(text: Column) -> Column:
+    """Whether a text has the mark of a gap: three dots or underscores or more in a row, or an ellipsis."""
+    return text.rlike(r"\.{3,}|_{3,}|\u2026")

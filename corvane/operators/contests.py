@@ -111,3 +111,10 @@ def flip_curve(observations: DataFrame, delta: str, baseline: str, grid: list[fl
 def recommended_margin(curve: DataFrame, support: int, rate: float) -> DataFrame:
     """The first threshold with enough observations and a flip rate below the aim; null if there is none."""
     return curve.agg(F.min(F.when((F.col("n") >= support) & (F.col("rate") < rate), F.col("threshold"))).alias("threshold"))
+
+
+def alternating_orientation(jobs: DataFrame, order: list[str], within: list[str]) -> DataFrame:
+    """``jobs`` with ``chosen_is_a``: in the order given the first, third and every other job of each ``within`` shows the
+    chosen side as A."""
+    w = Window.partitionBy(*within).orderBy(*order)
+    return jobs.withColumn("chosen_is_a", (F.row_number().over(w) - 1) % 2 == 0)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze
+from ..functions.text import jaccard, squeeze
 from .heaps import largest, smallest
 
 # Fixed value: punctuation that a normalised rewrite loses at its ends.
@@ -136,3 +136,14 @@ def similarity_ratio(a: Column, b: Column) -> Column:
         return pd.Series([difflib.SequenceMatcher(None, p or "", q or "", autojunk=False).ratio() for p, q in zip(x, y)])
 
     return ratio(a, b)
+
+
+def rewrite_divergence(rewrites: DataFrame, question: str, persona: str, tokens: Column) -> DataFrame:
+    """One row on the questions that two personas or more have a rewrite of: ``questions``, ``identical``, those whose
+    rewrites have all the same text, and ``mean_jaccard`` over all pairs of personas of a question. ``rewrites`` has
+    ``text``, one row a question and persona; a question has a handful of personas."""
+    per = rewrites.groupBy(question).agg(F.collect_list(tokens).alias("l"), F.countDistinct("text").alias("texts")).filter(F.size("l") >= 2)
+    rest = lambda i: F.slice("l", i + 2, F.size("l"))
+    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(rest(i), lambda y: jaccard(x, y))))
+    per = per.select("texts", F.size(pairs).alias("n"), F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x).alias("sum"))
+    return per.agg(F.count("*").alias("questions"), F.count_if(F.col("texts") == 1).alias("identical"), (F.sum("sum") / F.sum("n")).alias("mean_jaccard"))

@@ -177,3 +177,34 @@ def whole_losses(judged: DataFrame, mnrl: float, t_teacher: float, t_student: fl
         F.first("top").alias("top"), F.first("pos").alias("pos"), F.sum(F.exp(s / mnrl)).alias("zm"), F.sum(F.exp(s / t_student)).alias("zs"), F.sum(p).alias("zt"), F.sum(p * (g / t_teacher - s / t_student)).alias("d")
     )
     return sums.select("query_id", (F.log("zm") + (F.col("top") - F.col("pos")) / mnrl).alias("mnrl"), (F.col("d") / F.col("zt") - F.log("zt") + F.log("zs")).alias("kd"))
+
+
+def anchor_penalty(df: DataFrame, vector: str, base: str) -> DataFrame:
+    """One row: the mean of one less the inner product of unit vectors with what they were before training."""
+    return df.agg(F.avg(1 - dot(F.col(vector), F.col(base))).alias("penalty"))
+
+
+def hit_overlap(hits: DataFrame, keys: list[str], arm: str, before: str, after: str, doc: str, k: int = 5) -> DataFrame:
+    """One row: the mean over keys that both arms have of their common hits by ``k``. ``hits`` has one row a hit."""
+    of = lambda a: F.collect_set(F.when(F.col(arm) == a, F.col(doc)))
+    wide = hits.groupBy(*keys).agg(of(before).alias("x"), of(after).alias("y")).filter("size(x) > 0 and size(y) > 0")
+    return wide.agg(F.count("*").alias("n"), F.avg(F.size(F.array_intersect("x", "y")) / F.lit(k)).alias("overlap"))
+
+
+def distinct_hit_sets(hits: DataFrame, question: str, member: str, arm: str, doc: str) -> DataFrame:
+    """Per arm the mean number of different hit sets that a question has over its members."""
+    sets = hits.groupBy(arm, question, member).agg(F.array_sort(F.collect_set(doc)).alias("s"))
+    return sets.groupBy(arm, question).agg(F.countDistinct("s").alias("n")).groupBy(arm).agg(F.avg("n").alias("distinct_sets"))
+
+
+def own_pool_quality(scored: DataFrame, group: list[str], doc: str, score: str, sim: str, k: int = 5) -> DataFrame:
+    """One row over groups of two documents or more, each ranked within its own documents by ``sim``, ties by the smaller
+    document: the share with a positive among the first 1..k, and nDCG@k. Positives are within 1e-6 of the best score."""
+    own = Window.partitionBy(*group)
+    r = scored.withColumn("size", F.count("*").over(own)).filter("size >= 2").withColumn("best", F.max(score).over(own))
+    r = r.withColumn("rank", F.row_number().over(own.orderBy(F.desc(sim), doc))).withColumn("ideal", F.row_number().over(own.orderBy(F.desc(score), doc)))
+    gain = lambda c: F.sum(F.when(F.col(c) <= k, F.col(score) / F.log2(F.col(c) + 1.0)).otherwise(0.0))
+    first = F.min(F.when(F.col("best") - F.col(score) < 1e-6, F.col("rank")))
+    per = r.groupBy(*group).agg(first.alias("first"), gain("rank").alias("dcg"), gain("ideal").alias("idcg"))
+    recalls = [F.avg((F.col("first") <= i).cast("double")).alias(f"recall{i}") for i in range(1, k + 1)]
+    return per.agg(F.count("*").alias("groups"), *recalls, F.avg(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0)).alias(f"ndcg{k}"))
