@@ -257,6 +257,12 @@ def canonical_text(df: DataFrame, text: str, into: str, spellings: list[str]) ->
     return df.withColumn(into, F.coalesce(changed(t), t))
 
 
+def different_spellings(part: DataFrame) -> DataFrame:
+    """Pairs (g, ha, hb), both ways round, of different spellings ``h`` of a group ``g``, each once however many rows have it."""
+    h = part.select("g", "h").distinct()
+    return h.withColumnRenamed("h", "ha").join(h.withColumnRenamed("h", "hb"), "g").filter("ha != hb")
+
+
 def same_look_pairs(df: DataFrame, key: str, text: str, spellings: list[str]) -> DataFrame:
     """Pairs (key_a < key_b) of distinct keys whose texts look the same but differ in their characters.
 
@@ -265,9 +271,9 @@ def same_look_pairs(df: DataFrame, key: str, text: str, spellings: list[str]) ->
     rows = canonical_text(df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter("k is not null and t is not null").distinct(), "t", "f", spellings)
     rows = rows.withColumn("g", F.sha2("f", 256))
     several = rows.groupBy("g").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo != hi").select("g")
-    part = rows.join(several, "g", "left_semi").select("g", "k", "t")
-    a, b = part.toDF("g", "key_a", "ta"), part.toDF("g", "key_b", "tb")
-    return a.join(b, "g").filter("ta != tb and key_a < key_b").select("key_a", "key_b").distinct()
+    part = rows.join(several, "g", "left_semi").select("g", "k", F.sha2("t", 256).alias("h"))
+    a, b = part.toDF("g", "key_a", "ha"), part.toDF("g", "key_b", "hb")
+    return different_spellings(part).join(a, ["g", "ha"]).join(b, ["g", "hb"]).filter("key_a < key_b").select("key_a", "key_b").distinct()
 
 
 def same_look_as_source(df: DataFrame, key: str, ref: str, text: str, source: DataFrame, spellings: list[str]) -> DataFrame:

@@ -77,3 +77,14 @@ def test_vocabulary_counts_all_rows_and_is_bounded(spark):
 def test_very_long_text():
     c = L.Canonical([])
     assert c("كتاب " * 200_000) == ("کتاب " * 200_000).strip()
+
+
+def test_copies_do_not_meet(spark):
+    """400 copies of one text and one variant: two pairs of spellings, 400 pairs of keys."""
+    from corvane.llm import lookalike
+
+    part = spark.createDataFrame([("g", i, "x") for i in range(400)] + [("g", 400, "y")], "g string, k long, h string")
+    assert lookalike.different_spellings(part).count() == 2
+    df = spark.createDataFrame([(i, "كتاب") for i in range(400)] + [(400, "کتاب")], "k long, t string")
+    got = lookalike.same_look_pairs(df, "k", "t", ["کتاب"]).collect()
+    assert sorted((r.key_a, r.key_b) for r in got) == [(i, 400) for i in range(400)]
