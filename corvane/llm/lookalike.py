@@ -277,7 +277,8 @@ def same_look_pairs(df: DataFrame, key: str, text: str, spellings: list[str]) ->
 
 
 def same_look_as_source(df: DataFrame, key: str, ref: str, text: str, source: DataFrame, spellings: list[str]) -> DataFrame:
-    """Pairs (key, ref) of rows whose text looks like their source's text but isn't equal to it.
+    """Pairs (key_a, key_b) of a row's key and its source's, the smaller first, where the row's text looks like its
+    source's text but isn't equal to it.
 
     ``source`` has the columns ``ref`` and ``text``. Null texts and rows without a source give no pair. Only hashes of the
     texts are shuffled, two 64-bit hashes of each."""
@@ -285,4 +286,4 @@ def same_look_as_source(df: DataFrame, key: str, ref: str, text: str, source: Da
     left = hashes(df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{ref}`").alias("r"), F.col(f"`{text}`").alias("t")).filter("t is not null and k is not null"))
     right = source.select(F.lit("").alias("k"), F.col(f"`{ref}`").alias("r"), F.col(f"`{text}`").alias("t")).filter("t is not null")
     right = hashes(right).select("r", F.col("t").alias("t2"), F.col("f").alias("f2")).distinct()
-    return left.join(right, "r").filter("t != t2 and f = f2").select(F.col("k").alias("key_a"), F.col("r").alias("key_b")).distinct()
+    return left.join(right, "r").filter("t != t2 and f = f2").select(F.least("k", "r").alias("key_a"), F.greatest("k", "r").alias("key_b")).distinct()
