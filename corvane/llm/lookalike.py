@@ -1,9 +1,9 @@
 """One consistent form for texts that look the same on screen.
 
-Every token is looked up in a trie of the corpus vocabulary with a weighted edit automaton: look-alike characters,
-other blanks and characters without visible effect cost nothing, every visible edit costs one. A token that reaches a
-vocabulary word at no cost takes that word's spelling; any other token is normalised by table. Both agree for tokens that
-look the same, so two texts have the same form exactly if they look the same.
+Every token, as it is written, is walked through a trie of the corpus vocabulary by a weighted edit automaton: look-alike
+characters and characters without visible effect cost nothing, every visible edit costs one. A token that reaches a
+vocabulary word at no cost takes that word's spelling; any other token is normalised by table. Vocabulary words are their
+own table form, so two texts have the same form exactly if they look the same, whatever the vocabulary holds.
 
 What is visible depends on the joining of Arabic letters. A zero-width non-joiner shows only between two letters that
 would join. Arabic and Persian yeh look the same where they join the next letter, alef maksura and Persian yeh where they
@@ -68,7 +68,7 @@ def mapper(table: dict[int, str | None]) -> Callable[[str], str]:
 
 
 simple = mapper(_simple_map())
-_YEH_HAMZA = re.compile("[یى]ٔ")
+_YEH_HAMZA = re.compile("[یى]([\u064b-\u0653\u0670]*)ٔ")
 _CONTEXT = re.compile(f"[{ZWNJ}{ZWJ}\u064a\u0649\u0643]")
 _HALF_SPACES = re.compile(f"{ZWNJ}+")
 _VARIANTS = re.compile("[\u064a\u0649\u0643]")
@@ -76,31 +76,10 @@ _MARKS = "".join(chr(c) for c in range(0x300, 0x1F00) if unicodedata.category(ch
 #: Marks or joiners beside half-spaces, or scripts outside the lower blocks: their neighbours are looked up one by one.
 _CROWDED = re.compile(f"{ZWJ}|[{_MARKS}]{ZWNJ}|{ZWNJ}[{_MARKS}]|[\u0900-\u1dff\ua800-\uabff\U00010000-\U0010ffff]{ZWNJ}")
 _TOKEN = re.compile(r"\S+")
-#: Characters beside which a text may not be its own form.
-_SPECIAL = re.compile(
-    "[\u00a0\u00ad\u034f\u061c\u180e\u200b-\u200f\u2002\u2004-\u2009\u202a-\u202f\u205f-\u2064\u2066-\u2069\u3000\ufeff"
-    "\u0643\u0649\u064a\u0660-\u0663\u0667-\u0669\u06c0\u06c2\u0370-\u052f\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e8\u06ea-\u06ed"
-    "\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufb50-\ufdff\ufe70-\uffef]|[\u0590-\u05ff\u0700-\u0fff\u1100-\u11ff\u1700-\u17ff\u2126-\u212b\u2adc\uf900-\ufaff\U0001d000-\U0001d24f\U0002f800-\U0002fa1f]"
-)
-_HARAKAT = frozenset(map(chr, range(0x64B, 0x653)))
-
-
-def is_plain(text: str) -> bool:
-    """Whether a text is its own form for certain; told from its few special characters and their neighbours. A half-space
-    between joining letters is plain, and so is one vowel sign between letters that don't look like others."""
-    if text[:1].isspace() or text[-1:].isspace():
-        return False
-    last = len(text) - 1
-    for m in _SPECIAL.finditer(text):
-        i = m.start()
-        c = text[i]
-        if c == ZWNJ:
-            if 0 < i < last and text[i - 1] in JOIN_NEXT and text[i + 1] in JOIN_BEFORE:
-                continue
-        elif c in _HARAKAT and 0 < i < last and (n := text[i + 1]) != ZWNJ and n not in _HARAKAT and not unicodedata.combining(n) and not unicodedata.combining(text[i - 1]):
-            continue
-        return False
-    return True
+#: Half-spaces between a letter and its marks; they count as standing behind the marks.
+_EARLY = re.compile(f"{ZWNJ}[{ZWNJ}{_MARKS}]*[{_MARKS}]")
+def _behind_marks(m: re.Match) -> str:
+    return m.group().replace(ZWNJ, "") + ZWNJ
 
 
 def _joined(m: re.Match) -> bool:
@@ -119,8 +98,11 @@ def _variant(m: re.Match) -> str:
 
 def table_form(text: str) -> str:
     """The form of a text or token by table, in the light of how its letters join. Applying it twice changes nothing."""
-    s = simple(unicodedata.normalize("NFC", simple(text)))
-    s = _YEH_HAMZA.sub("ئ", s)
+    s = simple(text)
+    if not s.isascii():
+        s = _EARLY.sub(_behind_marks, s) if ZWNJ in s else s
+        s = unicodedata.normalize("NFC", simple(unicodedata.normalize("NFC", simple(unicodedata.normalize("NFD", s)))))
+        s = _YEH_HAMZA.sub(r"ئ\1", s)
     if not _CONTEXT.search(s):
         return s
     if not _CROWDED.search(s):  # no marks beside half-spaces: neighbours are those in the string
@@ -157,68 +139,133 @@ def table_form(text: str) -> str:
     return "".join(out)
 
 
+# What a letter may look like, as (letter, whether it joins the next letter, whether a hamza stands above it);
+# None leaves a condition open.
+LOOKS = {
+    "ي": (("ی", True, False), ("ي", False, False), ("ي", None, True)),
+    "ى": (("ى", True, False), ("ی", False, False), ("ي", None, True)),
+    "ی": (("ی", None, False), ("ي", None, True)),
+    "ك": (("ک", True, None), ("ك", False, None)),
+    "ە": (("ە", None, False), ("ه", None, True)),
+}
+HAMZA = "\u0654"
+
+
+class _Readings(dict):
+    """The visible units that a raw character stands for: none for an ignorable, letter and marks for a composed one."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = r = simple(unicodedata.normalize("NFD", simple(c)))
+        return r
+
+
+_READ = _Readings()
+
+
+def _units(token: str) -> str | None:
+    """What a raw token shows, one unit a letter, mark or half-space, adjacent marks in canonical order; None if it holds
+    joiners or viramas, which the automaton doesn't know."""
+    units = "".join(map(_READ.__getitem__, token))
+    if units.isascii():
+        return units
+    units = _EARLY.sub(_behind_marks, units) if ZWNJ in units else units
+    out, run = [], []
+    for u in units:
+        kind = unicodedata.combining(u)
+        if u == ZWJ or kind == 9:
+            return None
+        if kind:
+            run.append((kind, u))
+            continue
+        out += [m for _, m in sorted(run, key=lambda m: m[0])]
+        run = []
+        out.append(u)
+    return "".join(out) + "".join(m for _, m in sorted(run, key=lambda m: m[0]))
+
+
 class VocabularyTrie:
-    """A trie of spellings. ``search`` walks it with a weighted edit automaton over the token's visible units."""
+    """A trie of spellings in their visible units. ``search`` walks it with a weighted edit automaton over raw tokens.
+
+    A state is a node, whether the letter before joins the next one, and what the next unit is bound to: whether it must
+    join the letter before, and whether a hamza must come. Reading a look-alike follows its edge and reading an ignorable
+    or a half-space that doesn't show stays at the node, both at no cost; every visible edit costs one."""
 
     def __init__(self, spellings: list[str]):
         self.root: dict = {}
         for word in spellings:
             node = self.root
-            for c in table_form(word):
+            for c in unicodedata.normalize("NFD", word):
                 node = node.setdefault(c, {})
             node.setdefault("", word)
 
+    @staticmethod
+    def _follow(node: dict, u: str, joins: bool, join: bool | None, hamza: bool | None) -> list[tuple]:
+        """The states behind a unit at no cost."""
+        if u == ZWNJ:
+            if hamza is True:
+                return []
+            if not joins:
+                return [(node, False, join, None)]
+            out = [] if join is True else [(node, True, False, None)]  # unseen, as the next letter doesn't join
+            if join is not True and u in node:
+                out.append((node[u], False, True, None))
+            return out
+        if unicodedata.category(u) == "Mn":
+            if u not in node or (u == HAMZA and hamza is False):
+                return []
+            return [(node[u], joins, join, None if u == HAMZA else hamza)]
+        if hamza is True or (join is not None and join != (u in JOIN_BEFORE)):
+            return []
+        return [(node[e], e in JOIN_NEXT, j, h) for e, j, h in LOOKS.get(u, ((u, None, None),)) if e in node]
+
     def search(self, token: str, limit: int = 0) -> tuple[str, int] | None:
-        """The spelling of least cost, at most ``limit`` visible edits away, the smaller one of a tie; None if there is none.
-
-        Reading a look-alike follows its edge and reading an ignorable stays at the node, both at no cost."""
-        units = table_form(token)
-        node = self.root
-        for c in units:
-            if (node := node.get(c)) is None:
-                break
-        else:
-            if "" in node:
-                return node[""], 0
-        if limit <= 0:
+        """The spelling of least cost, at most ``limit`` visible edits away, the smaller one of a tie; None if there is none."""
+        units = _units(token)
+        if units is None:
             return None
         best: tuple[int, str] | None = None
-        stack = [(self.root, list(range(len(units) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if row[-1] <= limit and (best is None or (row[-1], child) < best):
-                        best = (row[-1], child)
-                    continue
-                new = [row[0] + 1]
-                for i, u in enumerate(units):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (u != c)))
-                if min(new) <= limit:
-                    stack.append((child, new))
+        todo = [(0, 0, self.root, False, None, None)]  # cost, units read, state
+        while todo:
+            cost, i, node, joins, join, hamza = todo.pop()
+            if best and cost > best[0]:
+                continue
+            if i == len(units):
+                if "" in node and join is not True and hamza is not True and (best is None or (cost, node[""]) < best):
+                    best = (cost, node[""])
+            else:
+                for state in self._follow(node, units[i], joins, join, hamza):
+                    todo.append((cost, i + 1, *state))
+            if cost < limit:  # a visible edit: another unit, one too many, one too few
+                steps = [(i + 1, node, joins, None, None)] if i < len(units) else []
+                for e, child in node.items():
+                    if e:
+                        after = joins if unicodedata.category(e) == "Mn" else e in JOIN_NEXT
+                        steps += [(i + n, child, after, None, None) for n in ((1, 0) if i < len(units) else (0,))]
+                todo = [(cost + 1, *s) for s in steps] + todo  # states without edits first
         return (best[1], best[0]) if best else None
 
 
-class Canonical:
-    """Forms of whole texts, remembering the forms of tokens."""
+class Canonical(dict):
+    """Forms of whole texts. Each token, as it is written, is walked through the trie and its form remembered, at most
+    ``keep`` of them; ``table`` gives the form of a token that reaches no spelling."""
 
-    def __init__(self, spellings: list[str], keep: int = 50_000):
-        self.trie, self.known, self.keep = VocabularyTrie(spellings), {}, keep
+    def __init__(self, spellings: list[str], keep: int = 200_000, table: Callable[[str], str] = table_form):
+        self.trie, self.room, self.table = VocabularyTrie(spellings), keep, table
 
-    def _token(self, m: re.Match) -> str:
-        token = m.group()
-        form = self.known.get(token)
-        if form is None:
-            hit = self.trie.search(token)
-            form = hit[0] if hit else table_form(token)
-            if len(self.known) < self.keep:
-                self.known[token] = form
+    def __missing__(self, part: str) -> str:
+        """``part`` holds no plain space, but may hold other blanks."""
+        form = _TOKEN.sub(lambda m: self._token(m.group()), _blanks(part))
+        if self.room > 0 and len(part) < 100:
+            self.room -= 1
+            self[part] = form
         return form
 
+    def _token(self, token: str) -> str:
+        hit = self.trie.search(token)
+        return hit[0] if hit else self.table(token)
+
     def __call__(self, text: str | None) -> str | None:
-        if text is None:
-            return None
-        return text if is_plain(text) else _TOKEN.sub(self._token, _blanks(text)).strip()
+        return None if text is None else " ".join(map(self.__getitem__, text.split(" "))).strip()
 
 
 _blanks = mapper({ord(c): " " for c in SPACES})
@@ -251,7 +298,7 @@ def canonical_text(df: DataFrame, text: str, into: str, spellings: list[str]) ->
     def changed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         canonical = Canonical(spellings)
         for s in batches:
-            yield pd.Series([None if t is None or is_plain(t) else canonical(t) for t in s.tolist()], index=s.index, dtype=object)
+            yield pd.Series([f if (f := canonical(t)) != t else None for t in s.tolist()], index=s.index, dtype=object)
 
     t: Column = F.col(f"`{text}`")
     return df.withColumn(into, F.coalesce(changed(t), t))
@@ -281,8 +328,9 @@ def same_look_as_source(df: DataFrame, key: str, ref: str, text: str, source: Da
     source's text but isn't equal to it.
 
     ``source`` has the columns ``ref`` and ``text``. Null texts and rows without a source give no pair. Only hashes of the
-    texts are shuffled, two 64-bit hashes of each."""
-    hashes = lambda d: canonical_text(d, "t", "f", spellings).select("k", "r", F.xxhash64("t").alias("t"), F.struct(F.xxhash64("f"), F.hash("f"), F.length("f")).alias("f"))
+    texts are shuffled, 96 bits and the length of each."""
+    mark = lambda c: F.struct(F.xxhash64(c), F.hash(c), F.length(c)).alias(c)
+    hashes = lambda d: canonical_text(d, "t", "f", spellings).select("k", "r", mark("t"), mark("f"))
     left = hashes(df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{ref}`").alias("r"), F.col(f"`{text}`").alias("t")).filter("t is not null and k is not null"))
     right = source.select(F.lit("").alias("k"), F.col(f"`{ref}`").alias("r"), F.col(f"`{text}`").alias("t")).filter("t is not null")
     right = hashes(right).select("r", F.col("t").alias("t2"), F.col("f").alias("f2")).distinct()

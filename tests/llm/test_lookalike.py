@@ -32,8 +32,47 @@ def test_table_is_idempotent_and_clean_texts_are_fixed():
         s = "".join(random.choice(alphabet) for _ in range(random.randint(0, 12)))
         once = L.table_form(s)
         assert L.table_form(once) == once
-        if L.is_plain(s):
-            assert L.Canonical([])(s) == s == once.strip()
+
+
+def test_the_trie_decides_vocabulary_words():
+    """Raw tokens reach their spelling without the table, and only those that have that table form."""
+    rng = random.Random(5)
+    alphabet = "ابپتجدرزسکگلمنوهیيىكءآؤئأّٔەۀ" + "\u200c\u200c\u200cـ.\u200b\u00ada\u043e۱١" + "ﻻ（َ\u00e9e\u0301\u0451\u0435"
+    draw = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6)))
+    words = {f for f in (L.table_form(draw()) for _ in range(8000)) if f}
+    canonical = L.Canonical(sorted(words), table=lambda t: None)  # without a table
+    hits = 0
+    for _ in range(20000):
+        t = draw()
+        form = L.table_form(t)
+        hit = canonical.trie.search(t)
+        assert (hit == (form, 0)) if form in words else (hit is None), ascii(t)
+        hits += hit is not None and t != form
+    assert hits > 1000
+    for a, b in SAME:  # pairs are found without the table if their words are in the vocabulary
+        c = L.Canonical(L.table_form(b).split() + L.table_form(a).split(), table=lambda t: "no table: " + t)
+        assert c(a) == c(b)
+
+
+def test_edits_against_distances():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 5))) for _ in range(40)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    trie = L.VocabularyTrie(words)
+    for _ in range(60):
+        t = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 5)))
+        d, w = min((distance(t, w), w) for w in words)
+        for limit in (0, 1, 2):
+            assert trie.search(t, limit) == ((w, d) if d <= limit else None)
 
 
 def test_trie_is_a_weighted_automaton():
@@ -45,6 +84,12 @@ def test_trie_is_a_weighted_automaton():
     assert t.search("", 1) is None
 
 
+def test_memory_is_bounded():
+    c = L.Canonical(["کتاب"], keep=3)
+    assert [c(t) for t in ("كتاب a b c d", "كتاب e", "x" * 500)] == ["کتاب a b c d", "کتاب e", "x" * 500]
+    assert len(c) == 3
+
+
 def test_clean_rows_keep_their_text(spark):
     rows = [(i, a) for i, pair in enumerate(SAME + DIFFERENT) for a in pair]
     df = spark.createDataFrame(rows, "id int, t string")
