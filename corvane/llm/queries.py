@@ -75,23 +75,27 @@ def p4_labels(spark: SparkSession, d: str) -> DataFrame:
     return labelled.select("pair_id", "side", *(F.round(c, 6).alias(c) for c in defects.DEFECTS), F.array_join("defects", ",").alias("defects"))
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _prompts(spark: SparkSession, d: str) -> tuple:
     profiles = table(spark, d, "profiles").select(F.col("id").alias("persona_id"), "split")
     records = table(spark, d, "prompt_records").select("case_id", "question_ref", "persona_id", "query").join(profiles, "persona_id")
-    records = records.withColumn("source", F.substring_index("question_ref", ":", 1))
-    return overlap.cross_split_overlaps(records, "case_id", "question_ref", "query", "split", "source")
+    return records.withColumn("source", F.substring_index("question_ref", ":", 1)), "case_id", "question_ref", "query", "split", "source"
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping records of the training split and another one, the smaller id first."""
-    return _overlaps(spark, d).select(F.least("a", "b").alias("case_a"), F.greatest("a", "b").alias("case_b"))
+    return overlap.overlap_pairs(*_prompts(spark, d)).select(F.least("a", "b").alias("case_a"), F.greatest("a", "b").alias("case_b"))
+
+
+def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs, the training record first, with what makes them overlap."""
+    out = overlap.cross_split_overlaps(*_prompts(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in ("similarity", "coverage")})
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps per evaluation split and source, with the coverage of the similar ones."""
-    same = F.sum(F.col("same_ref").cast("long")).alias("same_question")
-    near = F.sum(F.col("similarity").isNotNull().cast("long")).alias("similar_query")
-    return _overlaps(spark, d).groupBy("eval_split", "eval_source").agg(F.count("*").alias("pairs"), F.countDistinct("b").alias("eval_records"), same, near, F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.min("coverage"), 6).alias("least_coverage"))
+    """Overlaps per evaluation split and source, with the coverage of the records with similar ones."""
+    out = overlap.overlap_report(*_prompts(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_coverage", "least_coverage")})
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +156,7 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p2_found, p2_splits, p3_found, p3_forms, p4_found, p4_labels, p5_found, p5_report,
+        p1_found, p1_pieces, p2_found, p2_splits, p3_found, p3_forms, p4_found, p4_labels, p5_found, p5_overlaps, p5_report,
         p7_found, p7_ranked, p8_found, p8_containers, p9_found, p9_mixture, p9_shares, p10_found, p10_languages,
     )
 }

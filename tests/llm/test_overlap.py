@@ -74,31 +74,70 @@ def test_forms_and_empty(spark):
         overlap.similar_classes(df, 0.5)
 
 
-def runs_in_both(a, b):
-    """Share of b in runs of two words or more that are runs of a as well, by trying all of them."""
-    has = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 2, len(a) + 1)}
-    hit = {k for i in range(len(b)) for j in range(i + 2, len(b) + 1) if tuple(b[i:j]) in has for k in range(i, j)}
-    return len(hit) / len(b)
+def windows_in_both(a, b):
+    """Positions of b in windows of five words, or of all its words if fewer, that a has, by trying all of them."""
+    k = max(1, min(overlap.SPAN, len(b)))
+    has = {tuple(a[i : i + k]) for i in range(len(a) - k + 1)}
+    return {i + j for i in range(len(b) - k + 1) if tuple(b[i : i + k]) in has for j in range(k)}
+
+
+def test_suffix_array_and_spans_against_brute_force():
+    rng = random.Random(1)
+    codes = overlap.np.array([rng.randint(0, 3) for _ in range(300)])
+    order, _ = overlap.suffix_array(codes, 300)
+    assert order.tolist() == sorted(range(300), key=lambda i: codes[i:].tolist())
+    for _ in range(60):
+        pairs = []
+        for _ in range(rng.randint(0, 20)):
+            a = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+            b = list(a) if rng.random() < 0.4 else [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+            if b and rng.random() < 0.5:
+                b[rng.randrange(len(b))] = "z"
+            pairs.append((a, b))
+        for (a, b), spans in zip(pairs, overlap.shared_spans(pairs), strict=True):
+            assert {i for f, t in spans for i in range(f, t)} == windows_in_both(a, b)
+            assert all(f < t for f, t in spans) and all(p[1] < q[0] for p, q in zip(spans, spans[1:]))
 
 
 def test_coverage_of_long_near_copies(spark):
-    """Spans count over whole sequences, also far behind the suffixes that find a pair."""
+    """Spans count in written order, however long they are."""
     rng = random.Random(3)
     rows, texts = [], []
-    for i, n in enumerate([2, 3, 12, 20, 40, 56, 100, 100]):
+    for i, n in enumerate([2, 3, 12, 20, 40, 56, 100, 200]):
         w = [f"t{i}x{j}" for j in range(n)]
         near = list(w)
-        for j in rng.sample(range(n), n // 9):
+        for j in rng.sample(range(n), n // 9) if n < 200 else [199]:
             near[j] = f"n{i}x{j}"
-        texts += [(i, w, "train"), (100 + i, near + [f"e{i}"] * (i % 2 and n > 3), "val")]
+        texts += [(i, w, "train"), (100 + i, near + [f"e{i}"] * (i % 2 and 3 < n < 200), "val")]
     rows = [(k, f"r{k}", " ".join(w), s, "s") for k, w, s in texts] + [(900, "q", "alone", "train", "s"), (901, "p", "Alone!", "test", "s")]
-    got = {(x.a, x.b): x.coverage for x in overlap.cross_split_overlaps(spark.createDataFrame(rows, "k long, r string, t string, s string, o string"), "k", "r", "t", "s", "o").collect()}
-    sets = {tuple(overlap.plain_words(t)) for _, _, t, _, _ in rows}
-    words = sorted({w for x in sets for w in x})
-    code = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) h").collect()}
-    df = {w: sum(w in x for x in sets) for w in words}
-    seq = {k: sorted(overlap.plain_words(t), key=lambda w: (df[w], code[w])) for k, _, t, _, _ in rows}
+    df = spark.createDataFrame(rows, "k long, r string, t string, s string, o string")
+    got = {(x.a, x.b): x.coverage for x in overlap.cross_split_overlaps(df, "k", "r", "t", "s", "o").collect()}
+    text = {k: t.lower().replace("!", "").split() for k, _, t, _, _ in rows}
     assert set(got) == {(i, 100 + i) for i in range(8)} | {(900, 901)}
-    assert got.pop((900, 901)) == 1.0
-    assert got == pytest.approx({(a, b): runs_in_both(seq[a], seq[b]) for a, b in got})
-    assert got[6, 106] > 0.8 and got[5, 105] > 0.8
+    assert got == pytest.approx({(a, b): len(windows_in_both(text[a], text[b])) / len(text[b]) for a, b in got})
+    assert got[7, 107] == pytest.approx(0.995) and got[900, 901] == 1.0
+
+
+@pytest.mark.parametrize("batch", [200_000, 30])
+def test_report_equals_the_pairs(spark, rows, batch, monkeypatch):
+    monkeypatch.setattr(overlap, "BATCH_WORDS", batch)
+    df = spark.createDataFrame(rows + rows[:30], "a long, r string, words string, b string, cls string")
+    pairs = overlap.cross_split_overlaps(df, "a", "r", "words", "b", "cls").collect()
+    assert {(p.a, p.b) for p in overlap.overlap_pairs(df, "a", "r", "words", "b", "cls").collect()} == {(p.a, p.b) for p in pairs}
+    text = {k: (t or "").split() for k, _, t, _, _ in rows}
+    want, covered = {}, {}
+    for p in pairs:
+        w = want.setdefault((p.eval_split, p.eval_source), [0, set(), 0, 0])
+        w[0] += 1
+        w[1].add(p.b)
+        w[2] += p.same_ref
+        w[3] += p.similarity is not None
+        if p.similarity is not None:
+            covered.setdefault((p.eval_split, p.eval_source), {}).setdefault(p.b, set()).update(windows_in_both(text[p.a], text[p.b]))
+    got = {(r.eval_split, r.eval_source): r for r in overlap.overlap_report(df, "a", "r", "words", "b", "cls").collect()}
+    assert {k: [r.pairs, r.eval_records, r.same_question, r.similar_query] for k, r in got.items()} == {k: [w[0], len(w[1]), w[2], w[3]] for k, w in want.items()}
+    for k, r in got.items():
+        shares = [len(c) / len(text[b]) for b, c in covered.get(k, {}).items()]
+        assert r.mean_coverage == (pytest.approx(sum(shares) / len(shares)) if shares else None)
+        assert r.least_coverage == (pytest.approx(min(shares)) if shares else None)
+    assert overlap.overlap_report(df.filter("1 = 0"), "a", "r", "words", "b", "cls").count() == 0
