@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,22 +26,69 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one, else a folder of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir`` where the session names one, or the context's checkpoint
+    folder. A local session without either gets a temporary folder; on a cluster that would be a different folder on each
+    machine, so it is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        named = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(named)
+    if named:
+        return named
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
+    named = "file://" + tempfile.mkdtemp(prefix="corvane-")
+    spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/corvane/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/corvane/{uuid.uuid4().hex}"
+    """Write ``df`` into the shared folder and read it back: lineage ends, and a lost executor loses nothing. The folder of
+    a run is removed when the driver ends, or by ``clear``."""
+    spark = df.sparkSession
+    path = f"{_run_dir(spark)}/{uuid.uuid4().hex}"
+    if spark.sparkContext.applicationId not in _CLEARED_AT_EXIT:
+        _CLEARED_AT_EXIT.add(spark.sparkContext.applicationId)
+        atexit.register(_clear_quietly, spark)  # runs before the context's own exit, which was registered earlier
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    return back
+
+
+_CLEARED_AT_EXIT: set[str] = set()
+#: Where the tables are that ``materialize`` returned, as long as somebody holds them.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` returned and that nothing reads any more."""
+    if path := _PATHS.pop(df, None):
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this run wrote into the shared folder. Results that weren't written elsewhere can't be read
+    after that."""
+    _delete(spark, _run_dir(spark))
+
+
+def _clear_quietly(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            clear(spark)
+    except Exception:  # the driver is ending and may have lost its JVM
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
