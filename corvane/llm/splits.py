@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 # Codes that stand for no value, once blanks, case and dashes are made alike.
 FILLERS = ("", "null", "none", "nil", "nan", "n/a")
@@ -47,7 +46,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.union(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = materialize(small.filter("u != v").distinct())
+        before, e = e, materialize(small.filter("u != v").distinct())
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -92,48 +92,89 @@ def largest_differencing(groups: list[list[tuple[int, list]]]) -> list[tuple[int
     return heap[0][2]
 
 
-def balanced_splits(df: DataFrame, record: str, keys: list[Column], shares: dict[str, float], bins: int = 40, blocks: int = 32, heavy: int = 20_000) -> DataFrame:
+def _combine(lots: list[list[tuple[int, list]]], bins: int) -> list[tuple[int, list]]:
+    """The bins of several lots in ``bins`` common ones, the heaviest first."""
+    return sorted(largest_differencing([[(0, [])] * (bins - len(g)) + g for g in lots]), key=lambda b: (-b[0], b[1]))
+
+
+def allocate(weights: list[int], shares: dict[str, float]) -> list[str]:
+    """A split for each bin: the heaviest bin first to the split that lacks most of its share, then single bins are moved or
+    swapped as long as that brings the splits nearer to their shares."""
+    total, names = sum(weights), list(shares)
+    lack = {s: shares[s] * total for s in names}
+    where = [""] * len(weights)
+    for i in sorted(range(len(weights)), key=lambda i: (-weights[i], i)):
+        where[i] = max(names, key=lambda s: (lack[s], s))
+        lack[where[i]] -= weights[i]
+    for _ in range(len(weights)):
+        best = (-1e-9, None)
+        for i, s in enumerate(where):
+            moves = [(t, None, weights[i]) for t in names if t != s]
+            moves += [(where[j], j, weights[i] - weights[j]) for j in range(i) if where[j] != s]
+            for t, j, w in moves:
+                gain = abs(lack[s] + w) + abs(lack[t] - w) - abs(lack[s]) - abs(lack[t])
+                if gain < best[0]:
+                    best = (gain, (i, t, j, w))
+        if best[1] is None:
+            break
+        i, t, j, w = best[1]
+        s = where[i]
+        where[i] = t
+        if j is not None:
+            where[j] = s
+        lack[s] += w
+        lack[t] -= w
+    return where
+
+
+def balanced_splits(df: DataFrame, record: str, keys: list[Column], shares: dict[str, float], bins: int = 100, lot_items: int = 10_000, fan_in: int = 200) -> DataFrame:
     """``record``, ``anchor`` and ``split``: splits in the given proportions, tied records always in the same one.
 
-    Component sizes are spread over ``blocks``; in each, largest differencing balances them into ``bins`` equal bins, then
-    the blocks' bins are combined the same way and whole bins go to the split that is farthest below its share. A
-    component heavier than a bin fills its bin alone. The driver sees ``blocks`` x ``bins`` weights, no components.
-    An empty table gives no rows; ties between components are broken by anchor."""
+    Components are spread by a hash over lots of about ``lot_items``; in each, largest differencing balances them into
+    ``bins`` equal bins. The bins of up to ``fan_in`` lots are combined the same way, over and over until few enough are
+    left for the driver, which sees at most ``fan_in`` x ``bins`` weights and gives whole bins to splits. A component
+    heavier than a bin fills its bin alone. Lots depend on the anchors alone, and inside a lot heavier components come
+    first, of equal ones the smaller anchor, so the same records get the same splits however they are partitioned.
+    An empty table gives no rows."""
     tied = materialize(tied_records(df, record, keys))
-    sizes = tied.groupBy("anchor").agg(F.count("*").alias("w"))
-    sizes = sizes.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).cast("int"))
-
-    def fill(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Bins for the components of a block, ``heavy`` at a time; each further lot is combined with the bins so far."""
-        total = [0] * bins
-        for lot in batches:
-            lot = lot.sort_values(["w", "anchor"], ascending=[False, True])
-            for at in range(0, len(lot), heavy):
-                part = lot.iloc[at : at + heavy]
-                one = largest_differencing([[(0, [])] * (bins - 1) + [(int(w), [i])] for i, w in enumerate(part.w)])
-                order = sorted(range(bins), key=lambda b: (-total[b], b))  # lightest new bin to heaviest old one
-                place = [0] * len(part)
-                for b, (w, members) in zip(order, one):
-                    total[b] += w
-                    for i in members:
-                        place[i] = b
-                yield pd.DataFrame({"anchor": part.anchor.to_numpy(), "w": part.w.to_numpy(), "block": key[0], "bin": place})
-
-    placed = materialize(sizes.groupBy("block").applyInPandas(fill, "anchor string, w long, block int, bin int"))
-    weights = placed.groupBy("block", "bin").agg(F.sum("w").alias("w")).collect()  # at most blocks x bins rows
-    spark = df.sparkSession
-    if not weights:
+    sizes = materialize(tied.groupBy("anchor").agg(F.count("*").alias("w")))
+    lots = max(1, -(-sizes.count() // lot_items))
+    sizes = sizes.withColumn("lot", F.pmod(F.xxhash64("anchor"), F.lit(lots)))
+
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["w", "anchor"], ascending=[False, True])
+        found = largest_differencing([[(0, [])] * (bins - 1) + [(w, [i])] for i, w in enumerate(pdf.w.tolist())])
+        place = [0] * len(pdf)
+        for b, (_, members) in enumerate(found):
+            for i in members:
+                place[i] = b
+        return pd.DataFrame({"anchor": pdf.anchor.to_numpy(dtype=object), "w": pdf.w.to_numpy(), "lot": key[0], "bin": place})
+
+    kind = sizes.schema["anchor"].dataType.simpleString()
+    placed = materialize(sizes.groupBy("lot").applyInPandas(fill, f"anchor {kind}, w long, lot long, bin int"))
+    weights = placed.groupBy("lot", "bin").agg(F.sum("w").alias("w"))
+
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["lot", "bin"]).reset_index(drop=True)
+        found = _combine([[(w, [i]) for w, i in zip(g.w.tolist(), g.index.tolist())] for _, g in pdf.groupby("lot")], bins)
+        to = [0] * len(pdf)
+        for b, (_, members) in enumerate(found):
+            for i in members:
+                to[i] = b
+        return pd.DataFrame({"lot": pdf.lot, "bin": pdf.bin, "w": pdf.w, "up": key[0], "to": to})
+
+    while lots > fan_in:
+        lots = -(-lots // fan_in)
+        joined = materialize(weights.withColumn("up", F.pmod(F.xxhash64("lot", F.lit(lots)), F.lit(lots))).groupBy("up").applyInPandas(join, "lot long, bin int, w long, up long, to int"))
+        placed = placed.join(joined.select("lot", "bin", "up", "to"), ["lot", "bin"]).select("anchor", "w", F.col("up").alias("lot"), F.col("to").alias("bin"))
+        weights = joined.groupBy(F.col("up").alias("lot"), F.col("to").alias("bin")).agg(F.sum("w").alias("w"))
+    by_lot: dict[int, list] = {}
+    for r in sorted(weights.collect(), key=lambda r: (r.lot, r.bin)):  # at most fan_in x bins rows
+        by_lot.setdefault(r.lot, []).append((r.w, [(r.lot, r.bin)]))
+    if not by_lot:
         return tied.select(record, "anchor", F.lit(None).cast("string").alias("split"))
-    by_block: dict[int, list] = {}
-    for r in sorted(weights, key=lambda r: (r.block, r.bin)):
-        by_block.setdefault(r.block, []).append((r.w, [(r.block, r.bin)]))
-    final = largest_differencing([[(0, [])] * (bins - len(g)) + g for g in by_block.values()])
-    goal = {s: share * sum(r.w for r in weights) for s, share in shares.items()}
-    rows = []
-    for w, members in sorted(final, key=lambda b: -b[0]):
-        split = max(goal, key=lambda s: goal[s])
-        goal[split] -= w
-        rows += [(*m, split) for m in members]
-    where = spark.createDataFrame(rows or [(0, 0, "")], "block int, bin int, split string")
-    chosen = placed.join(where, ["block", "bin"]).select("anchor", "split")
-    return tied.join(chosen, "anchor").select(record, "anchor", "split")
+    final = _combine([by_lot[k] for k in sorted(by_lot)], bins)
+    split = allocate([w for w, _ in final], shares)
+    rows = [(*m, s) for (_, members), s in zip(final, split) for m in members]
+    where = df.sparkSession.createDataFrame(rows, "lot long, bin int, split string")
+    return tied.join(placed.join(where, ["lot", "bin"]).select("anchor", "split"), "anchor").select(record, "anchor", "split")

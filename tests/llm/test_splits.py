@@ -48,13 +48,40 @@ def test_codes(spark):
 def test_balanced_splits(spark):
     rows = [(f"q{i:05}", f"g{i // 3}" if i % 2 else None) for i in range(6000)] + [(f"big{i:04}", "giant") for i in range(2500)]
     df = spark.createDataFrame(rows, "q string, g string").withColumn("split", F.lit("old"))
-    got = splits.balanced_splits(df, "q", [F.col("g")], {"train": 0.8, "val": 0.1, "test": 0.1}, blocks=4).collect()
+    got = splits.balanced_splits(df, "q", [F.col("g")], {"train": 0.8, "val": 0.1, "test": 0.1}, lot_items=500).collect()
     assert len(got) == 8500 and len({r.split for r in got if r.q.startswith("big")}) == 1
     by_anchor = {}
     for r in got:
         assert by_anchor.setdefault(r.anchor, r.split) == r.split
     share = {s: sum(r.split == s for r in got) / len(got) for s in ("train", "val", "test")}
-    assert abs(share["train"] - 0.8) < 0.03 and abs(share["val"] - 0.1) < 0.03
+    assert all(abs(share[s] - x) < 0.002 for s, x in (("train", 0.8), ("val", 0.1), ("test", 0.1)))
+
+
+def test_splits_do_not_depend_on_batches_or_order(spark):
+    rng = random.Random(4)
+    rows = [(f"q{i:04}", f"g{rng.randint(0, 900)}") for i in range(1600)]
+    shares = {"train": 0.8, "val": 0.1, "test": 0.1}
+    got = []
+    for n, batch in ((1, "10000"), (7, "5")):
+        rng.shuffle(rows)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        df = spark.createDataFrame(rows, "q string, g string").repartition(n)
+        got.append({r.q: r.split for r in splits.balanced_splits(df, "q", [F.col("g")], shares, bins=20, lot_items=60, fan_in=4).collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] and len(got[0]) == 1600
+    assert all(abs(sum(s == k for s in got[0].values()) / 1600 - x) < 0.01 for k, x in shares.items())
+
+
+def test_allocation():
+    rng = random.Random(2)
+    for _ in range(50):
+        w = [rng.randint(1, 60) for _ in range(rng.randint(1, 40))]
+        got = splits.allocate(w, {"a": 0.8, "b": 0.1, "c": 0.1})
+        assert len(got) == len(w) and set(got) <= {"a", "b", "c"}
+    w = [40] * 10 + [10] * 40
+    got = splits.allocate(w, {"a": 0.8, "b": 0.1, "c": 0.1})
+    assert [sum(x for x, s in zip(w, got) if s == k) for k in "abc"] == [640, 80, 80]
+    assert splits.allocate([], {"a": 1.0}) == []
 
 
 def test_empty_and_unkeyed(spark):
