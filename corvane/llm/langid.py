@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .split_text import slices
+
 LANGUAGES = ("fa", "ar", "ur", "en", "tr", "fr")
 # Names of the languages besides their codes. Region and script suffixes are cut off before.
 NAMES = {
@@ -204,15 +206,6 @@ class Tagger:
         return [doc[head], start[head], end[tail], lang[head], conf, size], main
 
 
-def _slices(batches: Iterator[pd.DataFrame], most_chars: int = 400_000) -> Iterator[pd.DataFrame]:
-    """The batches in slices of about ``most_chars`` characters of column ``t``, which bounds the memory of a worker."""
-    for b in batches:
-        upto = b.t.str.len().fillna(0).to_numpy().cumsum() // most_chars
-        for at in np.split(np.arange(len(b)), np.flatnonzero(np.diff(upto)) + 1):
-            if len(at):
-                yield b.iloc[at]
-
-
 def label_language(label: Column) -> Column:
     """The language code that a label names, or null: codes, names and either with a region in any case."""
     plain = F.lower(F.regexp_replace(label, r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", ""))
@@ -223,15 +216,24 @@ def label_language(label: Column) -> Column:
     return out
 
 
+def passages(text: Column, most_chars: int, number: int = 8) -> Column:
+    """A text of at most ``most_chars`` characters as it is; of a longer one, ``number`` passages of equal length that stand
+    at even distances over the whole text, ``most_chars`` together, one a line."""
+    size = most_chars // number
+    step = (F.length(text) - size) / (number - 1)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) > most_chars, F.array_join(drawn, "\n")).otherwise(text)
+
+
 def train(df: DataFrame, text: str, label: str, rows_per_language: int = 300, most_chars: int = 4_000) -> Model:
     """Classifiers from a bounded sample of labelled rows: per language the ``rows_per_language`` rows with the least hash
-    of their text, the first ``most_chars`` characters of each. Rows whose label the first fit contradicts are left out of
-    the second, as labels may be wrong. Seeds stand in for languages without rows."""
+    of their text, of each up to ``most_chars`` characters in passages from the whole text. Rows whose label the first fit
+    contradicts are left out of the second, as labels may be wrong. Seeds stand in for languages without rows."""
     from pyspark.sql import Window
 
     rows = df.select(F.col(f"`{text}`").alias("t"), label_language(F.col(f"`{label}`")).alias("l")).filter("t is not null and l is not null")
     w = Window.partitionBy("l").orderBy("h")
-    picked = rows.select("l", F.xxhash64("t").alias("h"), F.substring("t", 1, most_chars).alias("t")).withColumn("i", F.row_number().over(w)).filter(F.col("i") <= rows_per_language)
+    picked = rows.select("l", F.xxhash64("t").alias("h"), passages(F.col("t"), most_chars).alias("t")).withColumn("i", F.row_number().over(w)).filter(F.col("i") <= rows_per_language)
     held: dict[str, list[str]] = {}
     for r in picked.select("l", "h", "t").orderBy("l", "h").collect():
         held.setdefault(r.l, []).append(r.t)
@@ -257,7 +259,7 @@ def languages(df: DataFrame, key: str, text: str, model: Model, least: int = 100
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)
-        for b in _slices(batches):
+        for b in slices(batches, 400_000):
             keys, labels = b.k.to_numpy(dtype=object), b.l.to_numpy(dtype=object)
             (doc, start, end, lang, conf, size), main = tagger.segments(b.t.tolist(), least=least)
             own = np.array([i for i, m in enumerate(main) if m is not None], np.int64)

@@ -22,7 +22,7 @@ def source_name(value: Column) -> Column:
 
 def allotments(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """What each source of ``targets`` (source, target_share, max_repeats) gives to a mixture as large as all ``sizes``
-    (source, tokens) together: columns source, name, tokens, target_share, max_repeats, capped, repeats.
+    (source, tokens) together: columns source, name, tokens, target_share, max_repeats, total, repeats.
 
     A source that can't reach its share gives all it may, ``max_repeats`` times; what it lacks is left to the others in
     proportion to their shares, as often as that makes another source reach its cap. Both tables have one row a source."""
@@ -30,7 +30,6 @@ def allotments(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double").alias("total"))
     j = t.join(sizes.select(F.col("source").alias("name"), "tokens"), "name", "left").crossJoin(total)  # one row on the right
     j = j.withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("double")).withColumn("most", F.col("max_repeats") * F.col("tokens"))
-    j = j.withColumn("capped", F.col("most") < F.col("target_share") * F.col("total"))
     # sources in order of cap by share: the first ones are capped, the rest share what is left
     every = Window.orderBy(F.when(F.col("target_share") > 0, F.col("most") / F.col("target_share")).otherwise(F.lit(float("inf"))), "name")
     before = every.rowsBetween(Window.unboundedPreceding, -1)
@@ -40,7 +39,7 @@ def allotments(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     free = F.max(F.when(F.col("most") >= F.col("rate") * F.col("target_share"), F.col("rate"))).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     j = j.withColumn("rate", rate).withColumn("free", free)
     j = j.withColumn("goal", F.least(F.col("most"), F.coalesce(F.col("free") * F.col("target_share"), F.col("most"))))
-    return j.select("source", "name", "tokens", "target_share", "max_repeats", "capped", F.when(F.col("tokens") > 0, F.col("goal") / F.col("tokens")).otherwise(0.0).alias("repeats"))
+    return j.select("source", "name", "tokens", "target_share", "max_repeats", "total", F.when(F.col("tokens") > 0, F.col("goal") / F.col("tokens")).otherwise(0.0).alias("repeats"))
 
 
 def mix_sources(df: DataFrame, key: str, text: str, source: str, targets: DataFrame, seed: int = 42, block_rows: int = 500_000, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +51,10 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, targets: DataFr
     a block of about ``block_rows`` rows of all sources, so that a source of any size is spread over many tasks. Copies are the floor or the ceiling of the
     repeats, never more than max_repeats. Rows without a source, of a source without a target, or without text are not
     used; the total counts every row that has a source. A repeated key counts as often as it is there. Sources are
-    compared without case, blanks and kind of dash."""
+    compared without case, blanks and kind of dash.
+
+    ``capped`` is read off the mixture: a source that the sampling uses up, every document ``max_repeats`` times, and that
+    has less than its share of the total all the same."""
     rows = df.select(F.col(f"`{key}`").alias("k"), source_name(F.col(f"`{source}`")).alias("source"), F.col(f"`{text}`").alias("t"))
     rows = with_tokens(rows.filter("source is not null"), "t", "tokens", vocabulary)
     rows = materialize(rows.select("k", "source", "tokens", F.xxhash64(F.lit(seed), F.col("k").cast("string")).alias("h")))
@@ -75,6 +77,8 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, targets: DataFr
     mixed = used.withColumn("copies", (upto(at) - upto(at - 1)).cast("int")).filter("copies > 0").select("k", "source", "tokens", "copies")
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("m"))
     report = plan.join(got.select(F.col("source").alias("name"), "m"), "name", "left").withColumn("mixed_tokens", F.coalesce("m", F.lit(0)))
+    used_up = F.col("mixed_tokens") >= F.col("max_repeats") * F.col("tokens")
+    report = report.withColumn("capped", used_up & (F.col("mixed_tokens") < F.col("target_share") * F.col("total")))
     everything = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     report = report.withColumn("actual_share", F.when(everything > 0, F.col("mixed_tokens") / everything).otherwise(0.0))
     return mixed.withColumnRenamed("k", key), report.select("source", F.col("tokens").cast("long").alias("tokens"), "target_share", "max_repeats", "capped", "mixed_tokens", "actual_share")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
+from collections import Counter as Counts
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,33 +14,79 @@ from ..session import materialize
 from .tokens import VOCABULARY, Counter
 
 
+class Stock:
+    """Items by size, with how many of each size are left."""
+
+    def __init__(self, sizes: list[int]):
+        count = Counts(sizes)
+        self.sizes = sorted(count)
+        self.left = [count[s] for s in self.sizes]
+        #: For each place the next one at or below it that has items left, with path halving; place 0 stands for none.
+        self.below = list(range(len(self.sizes) + 1))
+
+    def at_most(self, room: int) -> int:
+        """The place of the largest size left that fits, from 1 on; 0 if none does."""
+        i = bisect_right(self.sizes, room)
+        below = self.below
+        while below[i] != i:
+            below[i] = below[below[i]]
+            i = below[i]
+        return i
+
+    def take(self, place: int, n: int) -> None:
+        self.left[place - 1] -= n
+        if not self.left[place - 1]:
+            self.below[place] = place - 1
+
+    def fill(self, room: int) -> tuple[list[tuple[int, int]], int]:
+        """What best fit would put into ``room``, the largest fitting size over and over: (place, how many) and the rest of
+        the room. Takes nothing."""
+        out: list[tuple[int, int]] = []
+        i = self.at_most(room)
+        while i:
+            size = self.sizes[i - 1]
+            n = min(self.left[i - 1], room // size)
+            out.append((i, n))
+            room -= n * size
+            # what is left of this size doesn't fit, or nothing is left of it
+            i = self.at_most(min(room, size - 1))
+        return out, room
+
+
 def best_fit(sizes: list[int], capacities: list[int]) -> tuple[list[int], list[int], list[int]]:
     """Bins of items given from the largest on: each item's bin, each bin's content and its capacity in the end.
 
-    An item goes to the open bin it fills best. If none has room, the bin of least cost per token of room that the sizes
-    still to come can fill is opened: among the permitted lengths the one with the least expected waste, the larger of a
-    tie. In the end every bin shrinks to the shortest permitted length that holds its content."""
+    For the largest item left a bin is opened. Every permitted length that holds it is tried with what best fit would put
+    into it from all items still to come, and the length with the least unused room per token of content is opened, the
+    larger one of equals. So an item that fits no larger length well gets a shorter one of its own. No item that is left
+    fits a bin that is closed. In the end every bin shrinks to the shortest permitted length that holds its content."""
     capacities = sorted(capacities)
-    left = sum(sizes)
-    room: list[tuple[int, int]] = []  # (room, bin), ascending
-    where, held, cap = [], [], []
+    stock = Stock(sizes)
+    bins: list[tuple[int, list[tuple[int, int]]]] = []
+    while top := stock.at_most(stock.sizes[-1] if stock.sizes else 0):
+        size = stock.sizes[top - 1]
+        best = None
+        for c in capacities:
+            if c >= size:
+                items, rest = stock.fill(c)
+                cost = (rest / (c - rest), -c)
+                if best is None or cost < best[0]:
+                    best = (cost, items, c - rest)
+        _, items, held = best
+        for place, n in items:
+            stock.take(place, n)
+        bins.append((held, items))
+    # items of one size are alike: those given first go to the bins opened first
+    queue: dict[int, list[int]] = {}
+    for b, (_, items) in enumerate(bins):
+        for place, n in items:
+            queue.setdefault(stock.sizes[place - 1], []).extend([b] * n)
+    at = dict.fromkeys(queue, 0)
+    where = []
     for s in sizes:
-        at = bisect_left(room, (s, -1))
-        if at < len(room):
-            free, b = room.pop(at)
-        else:
-            fits = [c for c in capacities if c >= s]
-            # what is left to come bounds how much of a bin can be filled
-            c = min(fits, key=lambda c: (max(0, c - left), -c))
-            free, b = c, len(held)
-            held.append(0)
-            cap.append(c)
-        held[b] += s
-        left -= s
-        where.append(b)
-        if free > s:
-            insort(room, (free - s, b))
-    return where, held, [capacities[bisect_left(capacities, h)] for h in held]
+        where.append(queue[s][at[s]])
+        at[s] += 1
+    return where, [h for h, _ in bins], [capacities[bisect_left(capacities, h)] for h, _ in bins]
 
 
 def fill_containers(

@@ -124,7 +124,7 @@ def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that can't reach their target share."""
+    """Sources that can't reach their target share: the sampled mixture uses them up and still lacks some."""
     return _mixture(spark, d)[1].filter("capped").select("source")
 
 

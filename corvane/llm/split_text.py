@@ -101,6 +101,16 @@ def split_many(texts: list[str], limit: int, overlap: int) -> Iterator[list[tupl
         yield [(int(s - b), int(ends[s] - b), t[s - b : ends[s] - b]) for s in starts[i:j]]
 
 
+def slices(batches: Iterator[pd.DataFrame], most_chars: int = 500_000) -> Iterator[pd.DataFrame]:
+    """The batches in slices of about ``most_chars`` characters of column ``t``: a worker's memory holds the tables of one
+    slice, or of one text that is longer."""
+    for b in batches:
+        upto = b.t.str.len().fillna(0).to_numpy().cumsum() // most_chars
+        for at in np.split(np.arange(len(b)), np.flatnonzero(np.diff(upto)) + 1):
+            if len(at):
+                yield b.iloc[at]
+
+
 def split_oversized(df: DataFrame, key: str, text: str, limit: int = 800, overlap: int = 150, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of at most ``limit`` code points: ``key``, the ``keep`` columns, ``piece`` from 0 on, ``start``, ``end``,
     ``pieces`` (of the text) and ``piece_text``.
@@ -119,11 +129,11 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 800, overla
     out = T.StructType([kinds["k"], *(kinds[c] for c in held), T.StructField("piece", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pieces", T.IntegerType()), T.StructField("piece_text", T.StringType())])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             found = list(split_many(b.t.tolist(), limit, overlap))
             counts = [len(x) for x in found]
             flat = [(i, s, e, n, t) for x, n in zip(found, counts) for i, (s, e, t) in enumerate(x)]
-            left = b.loc[b.index.repeat(counts), ["k", *held]].reset_index(drop=True)
+            left = b.iloc[np.repeat(np.arange(len(b)), counts)][["k", *held]].reset_index(drop=True)
             right = pd.DataFrame(flat, columns=["piece", "start", "end", "pieces", "piece_text"])
             yield pd.concat([left, right], axis=1)
 

@@ -72,3 +72,16 @@ def test_training_on_a_bounded_noisy_sample(spark):
     truth = [lang for lang in TEXTS for _ in range(60)][1::2]
     main = langid.Tagger(m).segments([t for t, _ in held])[1]
     assert sum(langid.LANGUAGES[a] == b for a, b in zip(main, truth)) / len(truth) > 0.97
+
+
+def test_passages_come_from_the_whole_text(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.llm import langid
+
+    long = "".join(f"{i:05}," for i in range(10_000))
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, "")], "k int, t string")
+    got = {r.k: r.p for r in df.select("k", langid.passages(F.col("t"), 800).alias("p")).collect()}
+    assert got[2] == "short" and got[3] is None and got[4] == ""
+    parts = got[1].split("\n")
+    assert len(parts) == 8 and all(len(p) == 100 and p in long for p in parts) and long.startswith(parts[0]) and long.endswith(parts[-1])

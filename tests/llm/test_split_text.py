@@ -69,3 +69,14 @@ def test_limit_is_in_code_points(spark):
     df = spark.createDataFrame([("a", "😀" * 800), ("b", "😀" * 801)], "k string, t string")
     got = {r.k: r.pieces for r in split_oversized(df, "k", "t").collect()}
     assert got == {"a": 1, "b": 2}
+
+
+def test_slices_do_not_change_pieces(spark):
+    import pandas as pd
+
+    from corvane.llm import split_text
+
+    b = pd.DataFrame({"t": ["x" * 30, "", "y" * 500, None, "z" * 10, "w" * 10]}, index=[3, 3, 1, 0, 7, 9])
+    for most in (1, 40, 10_000):
+        got = list(split_text.slices(iter([b, b.iloc[:0]]), most))
+        assert pd.concat(got).equals(b) and all(g.t.str.len().sum() < most + 500 or len(g) == 1 for g in got)
