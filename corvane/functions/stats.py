@@ -22,18 +22,31 @@ def wilson(successes: Column, trials: Column, z: float = 1.96) -> tuple[Column,
     return F.when(n > 0, low).otherwise(nan), F.when(n > 0, high).otherwise(nan)
 
 
+def _lower_tail(low: int, n: int) -> float:
+    """The chance of at most ``low`` successes in ``n`` fair trials. Whole numbers up to 500 trials; beyond, terms from the
+    largest down, until they no longer count: about the square root of n of them."""
+    if n <= 500:
+        return sum(math.comb(n, i) for i in range(low + 1)) / 2**n
+    first = math.exp(math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) - n * math.log(2))
+    total = term = 1.0
+    for i in range(low, 0, -1):
+        term *= i / (n - i + 1)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return min(1.0, first * total)
+
+
 def binomial_two_sided(k: int, n: int) -> float:
-    """Exact two-sided p of k successes in n fair trials: all outcomes no likelier than the observed one."""
-    if n == 0:
-        return 1.0
-    ways = [math.comb(n, i) for i in range(n + 1)]
-    return min(1.0, sum(w for w in ways if w <= ways[k]) / 2**n)
+    """Exact two-sided p of k successes in n fair trials: all outcomes no likelier than the observed one, which for fair
+    trials are the two tails."""
+    low = min(k, n - k)
+    return 1.0 if 2 * low >= n - 1 else min(1.0, 2 * _lower_tail(low, n))
 
 
 def sign_test(wins: int, losses: int) -> float:
     """Exact two-sided sign test over decided trials; 1 without any."""
-    n, low = wins + losses, min(wins, losses)
-    return min(1.0, 2 * sum(math.comb(n, i) for i in range(low + 1)) / 2**n) if n else 1.0
+    return binomial_two_sided(wins, wins + losses)
 
 
 def binomial_p(k: Column, n: Column) -> Column:
@@ -88,22 +101,29 @@ def paired_bootstrap(deltas: np.ndarray, resamples: int = 10_000, seed: int = 42
 def bootstrap_by(df: DataFrame, family: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """Mean, interval and p of paired differences per family. A family is one comparison of evaluations; its differences
     are first counted by value, so what a task gets is bounded by the number of distinct differences."""
-    counted = df.groupBy(family, value).agg(F.count("*").alias("n"))
+    return bootstrap_counts(df.groupBy(family, value).agg(F.count("*").alias("n")), [family], value, "n", resamples, seed)
+
+
+def bootstrap_counts(counted: DataFrame, family: list[str], value: str, count: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """``family`` columns, ``n``, ``mean``, percentile interval (``low``, ``high``) and sign-flip ``p`` of differences that
+    are given as counts of distinct values. Resamples are drawn as multinomial and binomial counts of the values, a bounded
+    number of them at once."""
+    kinds = ", ".join(f"{c} {counted.schema[c].dataType.simpleString()}" for c in family)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(value)
-        values, n = pdf[value].to_numpy(float), pdf["n"].to_numpy()
+        values, n = pdf[value].to_numpy(float), pdf[count].to_numpy()
         rng = np.random.default_rng(seed)
         total = int(n.sum())
-        means = rng.multinomial(total, n / total, resamples) @ values / total
+        step = max(1, 2_000_000 // len(n))
+        lots = [min(step, resamples - at) for at in range(0, resamples, step)]
+        means = np.concatenate([rng.multinomial(total, n / total, b) @ values / total for b in lots])
         low, high = np.percentile(means, [2.5, 97.5])
         observed = abs(float(values @ n) / total)
-        flips = 2 * rng.binomial(n, 0.5, (resamples, len(n))) - n
-        p = (int((np.abs(flips @ values / total) >= observed - 1e-12).sum()) + 1) / (resamples + 1)
-        return pd.DataFrame({family: [pdf[family].iloc[0]], "n": [total], "mean": [float(values @ n) / total], "low": [low], "high": [high], "p": [p]})
+        hits = sum(int((np.abs((2 * rng.binomial(n, 0.5, (b, len(n))) - n) @ values / total) >= observed - 1e-12).sum()) for b in lots)
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in family} | {"n": [total], "mean": [float(values @ n) / total], "low": [low], "high": [high], "p": [(hits + 1) / (resamples + 1)]})
 
-    kind = df.schema[family].dataType.simpleString()
-    return counted.groupBy(family).applyInPandas(run, f"{family} {kind}, n long, mean double, low double, high double, p double")
+    return counted.groupBy(*family).applyInPandas(run, f"{kinds}, n long, mean double, low double, high double, p double")
 
 
 def bootstrap_mean(values: list[float], resamples: int = 2_000, seed: int = 42, short: bool = False) -> tuple[float, float]:
