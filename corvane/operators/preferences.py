@@ -85,24 +85,68 @@ def winners(cands: DataFrame, group: list[str], score: str, seq: str) -> DataFra
     return cands.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def within_pairs(cands: DataFrame, group: list[str], text: str, score: str, seq: str, margin: float, most_similar: float, similarity) -> DataFrame:
+def within_pairs(cands: DataFrame, group: list[str], text: str, score: str, seq: str, margin: float, most_similar: float, similarity=None, floor: float | None = None) -> DataFrame:
     """Each group's winner as chosen and, as rejected, its worst candidate that is at least ``margin`` below and less
-    similar than ``most_similar``. A group without such a candidate gives no row."""
+    similar than ``most_similar``. A group whose winner has less than ``floor``, or without such a candidate, gives no row.
+    ``similarity`` of two texts is that of their normalised forms (``similarity_ratio``) unless another is given."""
     best = winners(cands, group, score, seq).select(*group, F.col(text).alias("chosen"), F.col(score).alias("chosen_score"), F.col(seq).alias("_s"))
+    best = best if floor is None else best.filter(F.col("chosen_score") >= floor)
     pairs = cands.join(best, group).filter((F.col(seq) != F.col("_s")) & (F.col("chosen_score") - F.col(score) >= margin))
-    pairs = pairs.withColumn("_sim", similarity(F.col("chosen"), F.col(text))).filter(F.col("_sim") < most_similar)
+    pairs = pairs.withColumn("_sim", (similarity or similarity_ratio)(F.col("chosen"), F.col(text))).filter(F.col("_sim") < most_similar)
     w = Window.partitionBy(*group).orderBy(score, F.desc(seq))
     return pairs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*group, "chosen", F.col(text).alias("rejected"), "chosen_score", F.col(score).alias("rejected_score"), (F.col("chosen_score") - F.col(score)).alias("margin"))
 
 
-def cross_pairs(best: DataFrame, question: str, persona: str, text: str, own: str, scored_as: str, margin: float) -> DataFrame:
+def widest_margins(cands: DataFrame, group: list[str], text: str, score: str, seq: str, most_similar: float, similarity=None, floor: float | None = None) -> DataFrame:
+    """Per group with a candidate, ``widest``: the largest margin for which ``within_pairs`` still finds a pair, null if
+    there is none."""
+    pairs = within_pairs(cands, group, text, score, seq, 0.0, most_similar, similarity, floor)
+    return cands.select(*group).distinct().join(pairs.select(*group, F.col("margin").alias("widest")), group, "left")
+
+
+def survival_curve(cands: DataFrame, group: list[str], text: str, score: str, samples: str, least: int, seq: str, grid: list[float], most_similar: float, similarity=None, floor: float | None = None, key=None) -> DataFrame:
+    """For every least margin of the grid the groups that still yield a pair, of all groups: candidates are filtered, then a
+    pair is selected, as in production. A pair is found for a margin exactly if the worst dissimilar candidate is that far
+    below the winner, so candidates meet the winner once, and the grid meets one number a group."""
+    kept = candidate_filter(cands, group, text, score, samples, least, seq, key or rewrite_key).filter("filter_reason is null")
+    widest = widest_margins(kept, group, text, score, seq, most_similar, similarity, floor)
+    every = cands.select(*group).distinct()
+    reached = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: F.col("widest") >= t))
+    counted = every.join(widest, group, "left").groupBy(F.when(F.col("widest").isNull(), 0).otherwise(reached).alias("_r")).agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("min_margin"), (F.col("_r") > i).cast("long").alias("in")) for i, t in enumerate(sorted(grid))))).alias("x")
+    out = counted.select("n", each).groupBy("x.min_margin").agg(F.sum(F.col("n") * F.col("x.in")).alias("groups_with_pair"), F.sum("n").alias("groups"))
+    return out.withColumn("rate", F.try_divide(F.col("groups_with_pair"), F.col("groups")))
+
+
+def cross_pairs(best: DataFrame, question: str, persona: str, text: str, own: str, scored_as: str, margin: float, floor: float | None = None, most_similar: float | None = None, similarity=None) -> DataFrame:
     """Each persona's winner against every other persona's winner scored under this persona: ``scored_as`` is a map from
-    persona to score. Pairs below ``margin`` and foreign winners without a score for the persona are left out. A question
-    has one winner a persona, so the self-join is bounded by the personas."""
+    persona to score. Winners below ``floor``, foreign winners without a score for the persona, pairs below ``margin`` and
+    pairs at least ``most_similar`` are left out. A question has one winner a persona, so the self-join is bounded by the
+    personas."""
     a = best.select(question, F.col(persona).alias("persona"), F.col(text).alias("chosen"), F.col(own).alias("chosen_score"))
+    a = a if floor is None else a.filter(F.col("chosen_score") >= floor)
     b = best.select(question, F.col(persona).alias("rejected_persona"), F.col(text).alias("rejected"), F.col(scored_as).alias("_m"))
     j = a.join(b, question).filter("persona != rejected_persona").withColumn("rejected_score", F.try_element_at("_m", F.col("persona"))).drop("_m")
-    return j.withColumn("margin", F.col("chosen_score") - F.col("rejected_score")).filter(F.col("margin") >= margin)
+    j = j.withColumn("margin", F.col("chosen_score") - F.col("rejected_score")).filter(F.col("margin") >= margin)
+    return j if most_similar is None else j.filter((similarity or similarity_ratio)(F.col("chosen"), F.col("rejected")) < most_similar)
+
+
+def best_and_worst(cands: DataFrame, group: list[str], text: str, score: str, seq: str) -> DataFrame:
+    """The older pairing: first and last candidate of a group by descending score (of equal ones the earlier first), where
+    the first has strictly more."""
+    o = F.struct((F.lit(0.0) - F.col(score)).alias("o"), F.col(seq).alias("seq"), F.col(text).alias("text"), F.col(score).alias("score"))
+    g = cands.groupBy(*group).agg(F.min(o).alias("f"), F.max(o).alias("l"))
+    return g.filter("f.score > l.score").select(*group, F.col("f.text").alias("chosen"), F.col("l.text").alias("rejected"), (F.col("f.score") - F.col("l.score")).alias("margin"))
+
+
+def both_orientations(best: DataFrame, question: str, persona: str, text: str, score: str, margin: float) -> DataFrame:
+    """The older cross pairing: two personas' winners of a question whose scores differ by more than ``margin``, once for
+    each persona."""
+    x = best.select(question, F.col(persona).alias("p"), F.col(text).alias("t"), F.col(score).alias("s"))
+    j = x.toDF(question, "pa", "ta", "sa").join(x.toDF(question, "pb", "tb", "sb"), question).filter((F.col("pa") < F.col("pb")) & (F.abs(F.col("sa") - F.col("sb")) > margin))
+    win = F.col("sa") > F.col("sb")
+    two = F.array(*(F.struct(F.col(p).alias("persona"), F.when(win, F.col("ta")).otherwise(F.col("tb")).alias("chosen"), F.when(win, F.col("tb")).otherwise(F.col("ta")).alias("rejected")) for p in ("pa", "pb")))
+    return j.select(question, F.explode(two).alias("x")).select(question, "x.*")
 
 
 def average_samples(samples: DataFrame, group: list[str], weights: dict[str, float]) -> DataFrame:
@@ -113,14 +157,61 @@ def average_samples(samples: DataFrame, group: list[str], weights: dict[str, flo
     return agg.withColumn("score", total)
 
 
-def pair_errors(pairs: DataFrame, key: str, texts: list[str], numbers: list[str], personas: list[str], persona: str, types: list[str], kind: str, version: str, current: int, chosen: str, rejected: str) -> DataFrame:
-    """``key`` and the ``errors`` of each preference row, an array that is empty for a valid row."""
+def pair_errors(pairs: DataFrame, key: str, texts: list[str], numbers: list[str], personas: list[str], persona: str, types: list[str], kind: str, version: str, current: int, chosen: str, rejected: str, margin: tuple[str, str, str] | None = None, repeated: bool = False) -> DataFrame:
+    """``key`` and the ``errors`` of each preference row, an array that is empty for a valid row. ``margin`` names the
+    margin and the two scores it must be the difference of; with ``repeated``, rows that are there more than once in every
+    column are an error of each of them."""
     checks = [F.when(~F.col(version).eqNullSafe(current), "format_version")]
     checks += [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", f"empty:{c}") for c in texts]
     checks += [F.when(F.col(c).isNull() | F.isnan(c), f"number:{c}") for c in numbers]
     checks += [F.when(~F.coalesce(F.col(persona).isin(personas), F.lit(False)), "persona"), F.when(~F.coalesce(F.col(kind).isin(types), F.lit(False)), "pair_type")]
     checks += [F.when(squeeze(F.col(chosen)) == squeeze(F.col(rejected)), "equal_sides")]
-    return pairs.select(key, F.array_compact(F.array(*checks)).alias("errors"))
+    if margin:
+        m, up, down = margin
+        checks += [F.when(F.abs(F.col(m) - (F.col(up) - F.col(down))) > 1e-6, "margin")]
+    if not repeated:
+        return pairs.select(key, F.array_compact(F.array(*checks)).alias("errors"))
+    row = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in pairs.columns))), 256)
+    checked = pairs.select(key, row.alias("_row"), F.array_compact(F.array(*checks)).alias("_errors"))
+    again = checked.groupBy("_row").count().filter("count > 1").select("_row", F.lit("repeated").alias("_again"))
+    return checked.join(again, "_row", "left").select(key, F.when(F.col("_again").isNotNull(), F.array_append("_errors", F.col("_again"))).otherwise(F.col("_errors")).alias("errors"))
+
+
+def gold_errors(records: DataFrame, gold: DataFrame, ref: str, fields: dict[str, str]) -> DataFrame:
+    """``records`` with ``error``: unknown, where ``gold`` has no row of the ref, the name of the first of ``fields`` (of the
+    records, of gold) that differs, or null. Null equals null. ``gold`` has one row a ref."""
+    g = gold.select(F.col(ref), F.lit(True).alias("_known"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(fields.values())))
+    error = F.when(F.col("_known").isNull(), "unknown")
+    for i, c in enumerate(fields):
+        error = error.when(~F.col(c).eqNullSafe(F.col(f"_{i}")), c)
+    j = records.join(g, ref, "left").withColumn("error", error)
+    return j.drop("_known", *(f"_{i}" for i in range(len(fields))))
+
+
+def cache_errors(expected: DataFrame, cached: DataFrame, keys: list[str], prompt: str, output: str) -> DataFrame:
+    """Keys with an ``error`` of a cache of outputs: missing, unexpected, repeated, other_prompt or empty_output; keys
+    without one are left out."""
+    c = cached.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(prompt).alias("_p"), F.max(prompt).alias("_q"), F.min(F.trim(F.coalesce(F.col(output), F.lit("")))).alias("_o"))
+    j = expected.select(*keys, F.col(prompt).alias("_want"), F.lit(True).alias("_e")).join(c, keys, "full_outer")
+    same = F.col("_p").eqNullSafe(F.col("_want")) & F.col("_q").eqNullSafe(F.col("_want"))
+    error = F.when(F.col("_n").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").when(F.col("_n") > 1, "repeated").when(~same, "other_prompt").when(F.col("_o") == "", "empty_output")
+    return j.withColumn("error", error).filter("error is not null").select(*keys, "error")
+
+
+def candidate_dump(filtered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is written of filtered candidates: all of them with ``filter_reason`` (unknown where it is missing for one that
+    isn't kept), and the survivors. ``filtered`` has ``kept`` and ``filter_reason``."""
+    reason = F.when(~F.col("kept"), F.coalesce("filter_reason", F.lit("unknown")))
+    return filtered.withColumn("filter_reason", reason), filtered.filter("kept")
+
+
+def budget_errors(pairs: DataFrame, lengths: dict[str, Column], limit: int) -> DataFrame:
+    """One row per side: how many texts are over the ``limit`` together with their prompt, and how many are of no length.
+    ``lengths`` holds the lengths of ``prompt`` and of the sides, by any tokenizer."""
+    prompt = lengths["prompt"]
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), (prompt + n).alias("n"), n.alias("own")) for s, n in lengths.items() if s != "prompt"))
+    x = pairs.select(F.explode(sides).alias("x")).select("x.*")
+    return x.groupBy("side").agg(F.count_if(F.col("n") > limit).alias("over_limit"), F.count_if(F.coalesce("own", F.lit(0)) == 0).alias("without_tokens"), F.max("n").alias("longest"))
 
 
 def split_leakage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -128,14 +219,14 @@ def split_leakage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).intersect(b.select(key))
 
 
-def similarity_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of two texts."""
+def similarity_ratio(a: Column, b: Column, normalised: bool = True) -> Column:
+    """Ratcliff-Obershelp similarity of two texts in their normalised form (``rewrite_key``), or as they are."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, p or "", q or "", autojunk=False).ratio() for p, q in zip(x, y)])
 
-    return ratio(a, b)
+    return ratio(rewrite_key(a), rewrite_key(b)) if normalised else ratio(a, b)
 
 
 def rewrite_divergence(rewrites: DataFrame, question: str, persona: str, tokens: Column) -> DataFrame:

@@ -123,9 +123,32 @@ def tournament_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return contests.round_robin(_contests(spark, d), "left", "right", "points").select("model", F.round("score", 6).alias("score"), "contests")
 
 
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The contests with a member each; every nineteenth has no verdict."""
+    c = _contests(spark, d).withColumn("member", F.col("case_id") % 4)
+    lost = (F.col("case_id") + F.col("replicate")) % 19 == 0
+    return c.withColumn("result", F.when(~lost, F.col("result"))).withColumn("points", F.when(~lost, F.col("points")))
+
+
 def head_to_head(spark: SparkSession, d: str) -> DataFrame:
-    h = contests.head_to_head(_contests(spark, d), ["left", "right"], "result")
-    return stats.holm(h, [], "p", ["left", "right"]).select("left", "right", "wins", "ties", "losses", F.round("score", 6).alias("score"), "p", "p_holm")
+    h = contests.head_to_head(_verdicts(spark, d), ["left", "right"], "result")
+    h = stats.holm(h, [], "p", ["left", "right"])
+    return h.select("left", "right", "n", "missing", "wins", "ties", "losses", *(F.round(c, 6).alias(c) for c in ("score", "p", "p_holm")))
+
+
+def head_to_head_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Resampled intervals of the same mean scores."""
+    return contests.score_intervals(_verdicts(spark, d), ["left", "right"], "points")
+
+
+def tournament_members(spark: SparkSession, d: str) -> DataFrame:
+    m = contests.member_scores(_verdicts(spark, d), "left", "right", "member", "points")
+    return m.withColumn("score", F.round("score", 6))
+
+
+def variant_selected(spark: SparkSession, d: str) -> DataFrame:
+    v = _verdicts(spark, d).filter("points is not null")
+    return contests.select_variant(contests.round_robin(v, "left", "right", "points"), contests.head_to_head(v, ["left", "right"], "result"), "view", "click")
 
 
 def orientation_balance(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +165,14 @@ def label_agreement(spark: SparkSession, d: str) -> DataFrame:
     """The second judge as a judge of labels: agreement on decided verdicts, shown first in half of the rows."""
     r = _records(spark, d).filter("score is not null and second is not null")
     v = r.select(F.when(F.col("second") == 2, F.lit(None)).otherwise((F.col("second") > 2) == (F.col("score") > 2)).alias("agrees"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("position"))
-    return contests.label_agreement(v, "agrees", "position")
+    out = contests.label_agreement(v, "agrees", "position")
+    return out.withColumns({c: F.round(c, 6) for c in ("rate", "low", "high", "p", "position_p")})
+
+
+def alternating_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Which side every other case shows first, in order of the cases of a pair of arms."""
+    c = _contests(spark, d).filter("replicate = 0").select("left", "right", "case_id")
+    return contests.alternating_orientation(c, ["case_id"], ["left", "right"])
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -187,6 +217,34 @@ def recommend_margin(spark: SparkSession, d: str) -> DataFrame:
     return contests.recommended_margin(contests.flip_curve(_observations(spark, d), "delta", "base", GRID), 30, 0.45)
 
 
+def _replicate_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return contests.replicate_deltas(_samples(spark, d).filter("score is not null"), ["case_id"], "arm", "replicate", "score")
+
+
+def flip_first(spark: SparkSession, d: str) -> DataFrame:
+    """Flips against the first replicate, which is what a single judgement would have said."""
+    c = contests.flip_curve(_replicate_deltas(spark, d).filter("not is_first"), "delta", "first", GRID)
+    return c.withColumn("rate", F.round("rate", 6))
+
+
+def flip_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Flips against the mean difference, by its size."""
+    o = _replicate_deltas(spark, d).withColumn("base", F.round("mean", 6))
+    return contests.flip_bins(o, "delta", "base", GRID).withColumn("flip_rate", F.round("flip_rate", 6))
+
+
+def margin_recommendation(spark: SparkSession, d: str) -> DataFrame:
+    curve = contests.flip_curve(_replicate_deltas(spark, d).filter("not is_first"), "delta", "first", GRID)
+    same = contests.determinism(_samples(spark, d), ["case_id", "arm"], "raw", "score")
+    return contests.recommendation(curve, same, 30, 0.6).withColumn("flip_rate", F.round("flip_rate", 6))
+
+
+def pair_noise(spark: SparkSession, d: str) -> DataFrame:
+    spread = contests.spreads(_samples(spark, d), ["case_id", "arm"], "score")
+    out = contests.pair_noise(_replicate_deltas(spark, d), ["case_id", "left", "right"], spread)
+    return out.select("pairs", *(F.round(c, 6).alias(c) for c in out.columns if c != "pairs"))
+
+
 def score_parse(spark: SparkSession, d: str) -> DataFrame:
     """Strict, lenient and token parses of replies made of the events' numbers."""
     e = table(spark, d, "events")
@@ -198,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         expected_keys_missing, resume_pending, stale_records, resolve_records, arm_summary, paired_deltas, win_tie_loss, paired_bootstrap, judge_agreement, failure_histogram, holm_adjust, wilson_interval,
-        tournament_round_robin, head_to_head, orientation_balance, orientation_jobs, label_agreement, noise_determinism, noise_spread, noise_bands, candidate_deltas, flip_curve, recommend_margin, score_parse,
+        tournament_round_robin, head_to_head, head_to_head_intervals, tournament_members, variant_selected, alternating_jobs, flip_first, flip_bins, margin_recommendation, pair_noise, orientation_balance, orientation_jobs, label_agreement, noise_determinism, noise_spread, noise_bands, candidate_deltas, flip_curve, recommend_margin, score_parse,
     )
 }
 
@@ -229,6 +287,15 @@ _CAND = _SPREAD + """, cd as (
  obs as (select a.score - b.score as delta, round(cd.delta, 6) as base from cd join s a on a.case_id = cd.case_id and a.arm = cd.left join s b on b.case_id = cd.case_id and b.arm = cd.right and b.replicate = a.replicate where a.score is not null and b.score is not null),
  grid as (select unnest([0.0, 0.5, 1.0, 1.5, 2.0, 3.0]::double[]) as threshold),
  curve as (select threshold, count(base) as n, count(case when delta = 0 or base = 0 or sign(delta) != sign(base) then base end) as flips from grid left join obs on abs(base) >= threshold group by 1)"""
+_VERDICTS = _CONTESTS + """, v as (select *, case when (case_id + replicate) % 19 != 0 then points end as pts, case_id % 4 as member from p),
+ h as (select "left", "right", count(pts) as n, count(*) - count(pts) as missing, count(case when pts = 1 then 1 end) as wins, count(case when pts = 0.5 then 1 end) as ties, count(case when pts = 0 then 1 end) as losses, avg(pts) as score from v group by 1, 2),
+ rr as (select model, avg(s) as score, count(*) as contests from (select "left" as model, pts as s from v where pts is not null union all select "right", 1 - pts from v where pts is not null) group by 1)"""
+#: Two-sided p of k successes in n fair trials.
+_EXACT = lambda k, n: f"case when 2 * least({k}, {n} - {k}) >= {n} - 1 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, least({k}, {n} - {k}) + 1), lambda i: exp(lgamma({n} + 1.0) - lgamma(i + 1.0) - lgamma({n} - i + 1.0) - {n} * ln(2.0))))) end"
+_RDELTAS = """, rd as (select case_id, a.arm as left, b.arm as right, replicate, a.score - b.score as delta from rec a join rec b using (case_id, replicate) where a.arm < b.arm and a.score is not null and b.score is not null),
+ rb as (select *, first_value(delta) over w as first, avg(delta) over g as mean, min(replicate) over g = replicate as is_first, count(*) over g as k from rd window w as (partition by case_id, "left", "right" order by replicate), g as (partition by case_id, "left", "right")),
+ rp as (select *, round(mean, 6) as base from rb where k >= 2), grid as (select unnest([0.0, 0.5, 1.0, 1.5, 2.0, 3.0]::double[]) as threshold),
+ fc as (select threshold, count(first) as n, count(case when delta = 0 or first = 0 or sign(delta) != sign(first) then first end) as flips from grid left join (select * from rp where not is_first) o on abs(first) >= threshold group by 1)"""
 _REPLY = "case event_id % 4 when 0 then ' 0.' || (event_id % 97) || ' ' when 1 then 'score: ' || (event_id % 13) when 2 then 'none' else '1.00' end"
 
 ORACLE = {
@@ -255,6 +322,37 @@ ORACLE = {
  select arm, n, k, round(greatest(0.0, (p + zz / (2 * n)) / (1 + zz / n) - 1.96 * sqrt(p * (1 - p) / n + zz / (4.0 * n * n)) / (1 + zz / n)), 6) as low,
   round(least(1.0, (p + zz / (2 * n)) / (1 + zz / n) + 1.96 * sqrt(p * (1 - p) / n + zz / (4.0 * n * n)) / (1 + zz / n)), 6) as high from x""",
     "tournament_round_robin": _REC + _CONTESTS + 'select model, round(avg(s), 6) as score, count(*) as contests from (select "left" as model, points as s from p union all select "right", 1 - points from p) group by 1',
+    "head_to_head": _REC
+    + _VERDICTS
+    + f""", x as (select *, {_EXACT('wins', '(wins + losses)')} as p0 from h), r as (select *, row_number() over (order by p0, "left", "right") as rk, count(*) over () as m from x)
+ select "left", "right", n, missing, wins, ties, losses, round(score, 6) as score, round(p0, 6) as p, round(max(least(1.0, (m - rk + 1) * p0)) over (order by rk rows unbounded preceding), 6) as p_holm from r""",
+    "tournament_members": _REC + _VERDICTS + 'select model, member, round(avg(s), 6) as score, count(*) as n from (select "left" as model, member, pts as s from v where pts is not null union all select "right", member, 1 - pts from v where pts is not null) group by 1, 2',
+    "variant_selected": _REC
+    + _VERDICTS
+    + """, x as (select (select score from rr where model = 'view') as a, (select score from rr where model = 'click') as b, 1 - (select score from h where "left" = 'click' and "right" = 'view') as d)
+ select case when a != b then case when a > b then 'view' else 'click' end when d >= 0.5 then 'view' else 'click' end as selected, case when a != b then 'all contests' when d != 0.5 then 'direct contest' else 'preference' end as by from x""",
+    "alternating_jobs": _REC + _CONTESTS + 'select "left", "right", case_id, (row_number() over (partition by "left", "right" order by case_id) - 1) % 2 = 0 as chosen_is_a from c where replicate = 0',
+    "label_agreement": _REC
+    + f""", v as (select case when second = 2 then null else (second > 2) = (score > 2) end as agrees, case when event_id % 2 = 0 then 'A' else 'B' end as position from rec where score is not null and second is not null),
+ c as (select count(case when agrees then 1 end) as agree, count(case when not agrees then 1 end) as disagree, count(case when agrees is null then 1 end) as tie, count(case when agrees is not null and position = 'A' then 1 end) as picked_a, count(case when agrees is not null and position = 'B' then 1 end) as picked_b from v),
+ x as (select *, agree + disagree as n, agree * 1.0 / (agree + disagree) as pr, 3.8416 as zz from c)
+ select agree, disagree, tie, picked_a, picked_b, round(pr, 6) as rate, round(greatest(0.0, (pr + zz / (2 * n)) / (1 + zz / n) - 1.96 * sqrt(pr * (1 - pr) / n + zz / (4.0 * n * n)) / (1 + zz / n)), 6) as low, round(least(1.0, (pr + zz / (2 * n)) / (1 + zz / n) + 1.96 * sqrt(pr * (1 - pr) / n + zz / (4.0 * n * n)) / (1 + zz / n)), 6) as high,
+  round({_EXACT('agree', 'n')}, 6) as p, round({_EXACT('picked_a', '(picked_a + picked_b)')}, 6) as position_p from x""",
+    "flip_first": _REC + _RDELTAS + "select threshold, n, flips, round(flips * 1.0 / nullif(n, 0), 6) as rate from fc",
+    "flip_bins": _REC
+    + _RDELTAS
+    + """, bins as (select unnest([0.0, 0.5, 1.0, 1.5, 2.0]::double[]) as margin_from, unnest([0.5, 1.0, 1.5, 2.0, 3.0]::double[]) as margin_to)
+ select margin_from, margin_to, count(base) as n, round(avg(case when base is not null then case when delta = 0 or base = 0 or sign(delta) != sign(base) then 1.0 else 0.0 end end), 6) as flip_rate
+ from bins left join rp on abs(base) >= margin_from and (abs(base) < margin_to or margin_to = 3.0) group by 1, 2""",
+    "margin_recommendation": _REC
+    + _RDELTAS
+    + """, f as (select * from fc where n >= 30 and flips * 1.0 / nullif(n, 0) < 0.6 order by threshold limit 1)
+ select threshold, round(flips * 1.0 / n, 6) as flip_rate, n as support, case when threshold is null then 'no threshold reaches the aim' end as reason from (select 1) left join f on true""",
+    "pair_noise": _REC
+    + _SPREAD
+    + _RDELTAS.replace(", rd as", ", rd as", 1)
+    + """, pp as (select stddev_samp(delta) as sd from rp group by case_id, "left", "right"), q as (select count(*) as pairs, avg(sd) as pair_sd from pp), o as (select avg(sd) as s from sp)
+ select pairs, round((select avg(abs(delta)) from rp), 6) as mean_abs_delta, round(pair_sd, 6) as pair_sd, round(s * sqrt(2.0), 6) as independent_sd, round(1 - pair_sd * pair_sd / (2 * s * s), 6) as implied_correlation from q cross join o""",
     "orientation_balance": _REC + _CONTESTS + 'select "left", "right", count(case when left_first then 1 end) as left_a, count(case when not left_first then 1 end) as right_a, abs(count(case when left_first then 1 end) - count(case when not left_first then 1 end)) <= 1 as balanced from oriented group by 1, 2',
     "orientation_jobs": _REC + _CONTESTS + 'select "left", "right", case_id, cast(replicate as integer) as replicate, job_key, left_first from oriented',
     "noise_determinism": _REC
