@@ -111,6 +111,24 @@ def nearest_epoch(log: DataFrame, run: str, epoch: str, target: float, value: st
     return log.groupBy(run).agg(F.min_by(F.struct(epoch, value), F.struct(F.abs(F.col(epoch) - target), F.col(epoch))).alias("e")).select(run, f"e.{epoch}", f"e.{value}")
 
 
-def share_rows(cases: DataFrame, order: str, world: int) -> DataFrame:
-    """Round-robin shards by a hash order that needs no global sort."""
-    return cases.withColumn("shard", F.pmod(F.xxhash64(order), F.lit(world)))
+def alignment_errors(a: DataFrame, b: DataFrame, position: str, member: str) -> DataFrame:
+    """One row on two runs that are compared by position: positions that only one has, and positions whose members differ.
+    Both must be 0."""
+    x, y = a.select(position, F.col(member).alias("_a"), F.lit(True).alias("_x")), b.select(position, F.col(member).alias("_b"), F.lit(True).alias("_y"))
+    j = x.join(y, position, "full_outer")
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    return j.agg(F.count_if(~both).alias("unpaired"), F.count_if(both & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("other_member"))
+
+
+def merge_runs(a: DataFrame, b: DataFrame, arm: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of two runs together, and per arm how many of all keys it lacks (0 for every arm of runs that may be
+    merged)."""
+    merged = a.unionByName(b)
+    every = merged.select(*keys).distinct().agg(F.count("*").alias("_all"))
+    per = merged.select(arm, *keys).distinct().groupBy(arm).agg(F.count("*").alias("_n"))
+    return merged, per.crossJoin(every).select(arm, (F.col("_all") - F.col("_n")).alias("missing"))  # one row of totals
+
+
+def displacement(log: DataFrame, by: list[str], rewards: dict[str, str], beta: float) -> DataFrame:
+    """Shift of the log probability against the frozen reference in nats: each reward column over ``beta``."""
+    return log.select(*by, *((F.col(c) / beta).alias(name) for name, c in rewards.items()))
