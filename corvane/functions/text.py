@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +31,23 @@ def content_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("[؀-ۿ‌]{3,}"), F.lit(0)))
 
 
+def _unaccented() -> tuple[str, str]:
+    """Latin letters with diacritics, lower case, and the letters without."""
+    pairs = []
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        base = unicodedata.normalize("NFD", c)
+        if len(base) > 1 and base[0].isascii() and c.islower():
+            pairs.append((c, base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _unaccented()
+
+
 def index_terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-case runs of letters and digits, Latin ones without diacritics; marks of other scripts part them."""
+    bare = F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[\x{300}-\x{331}]", "")
+    return F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def fold_digits(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 from . import heaps
 
 
@@ -25,10 +27,11 @@ def chunk_windows(df: DataFrame, key: str, text: str, size: int = 800, overlap:
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Inverted index: ``term``, ``key``, ``tf`` and ``len``, the number of terms of the text."""
-    terms = df.select(key, tx.index_terms(F.col(text)).alias("ts"))
-    flat = terms.select(key, F.size("ts").alias("len"), F.explode("ts").alias("term"))
-    return flat.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
+    """Inverted index: ``term``, ``key``, ``tf``, ``places`` (ascending, from 0 on) and ``len``, the number of terms of the
+    text. Texts are read in their normalised form."""
+    terms = df.select(key, tx.index_terms(tx.persian(F.col(text))).alias("ts"))
+    flat = terms.select(key, F.size("ts").alias("len"), F.posexplode("ts").alias("place", "term"))
+    return flat.groupBy("term", key, "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))  # at most one text's terms
 
 
 def bm25(n_docs: Column, df: Column, tf: Column, length: Column, mean_length: Column, k1: float = 1.2, b: float = 0.75) -> Column:
@@ -37,22 +40,57 @@ def bm25(n_docs: Column, df: Column, tf: Column, length: Column, mean_length: Co
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
 
 
-def lexical_top_k(queries: DataFrame, query: str, query_text: str, docs: DataFrame, doc: str, doc_text: str, k: int) -> DataFrame:
-    """The ``k`` best documents of each query by BM25: ``query``, ``doc``, ``score``, ``rank``. A query term counts as
-    often as it occurs; ties go to the smaller document; a query without terms finds nothing."""
-    index = postings(docs, doc, doc_text)
-    lengths = index.groupBy(doc).agg(F.first("len").alias("len"))
-    whole = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    of_term = index.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select(query, F.explode(tx.index_terms(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
-    # terms are looked up first, so only postings of terms that are asked for travel
-    hits = asked.join(of_term, "term").join(index, "term").crossJoin(whole)  # one row of totals
-    scored = hits.groupBy(query, doc).agg(F.sum(F.col("qf") * bm25(F.col("docs"), F.col("df"), F.col("tf"), F.col("len"), F.col("mean"))).alias("s"))
+class LexicalIndex(NamedTuple):
+    """A stored index: ``postings`` with ``bucket``, and ``lengths`` (key, len) of the documents that have terms."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    buckets: int
+
+
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def phrases(queries: DataFrame, query: str, text: str) -> DataFrame:
+    """The terms that a search asks for: ``query``, ``phrase`` (a word between blanks as its terms, more than one where the
+    index parts it) and ``qf``, how often it occurs."""
+    asked = queries.select(query, F.explode(tx.words(tx.persian(F.col(text)))).alias("w")).select(query, tx.index_terms(F.col("w")).alias("phrase"))
+    return asked.filter(F.size("phrase") > 0).groupBy(query, "phrase").agg(F.count("*").alias("qf"))
+
+
+def phrase_hits(asked: DataFrame, index: LexicalIndex, doc: str) -> DataFrame:
+    """Where each distinct phrase occurs: ``phrase``, ``doc``, ``tf`` and ``len``. Terms are looked up by bucket and term, so
+    only the buckets of terms that are asked for are read, and only their postings travel."""
+    terms = asked.select("phrase").distinct().select("phrase", F.posexplode("phrase").alias("at", "term")).withColumn("bucket", bucket(F.col("term"), index.buckets))
+    found = terms.join(index.postings, ["bucket", "term"])
+    single = found.filter(F.size("phrase") == 1).select("phrase", doc, "tf", "len")
+    starts = found.filter(F.size("phrase") > 1).select("phrase", doc, "len", "at", F.explode("places").alias("place")).groupBy("phrase", doc, "len", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
+    several = starts.filter(F.col("n") == F.size("phrase")).groupBy("phrase", doc, "len").agg(F.count("*").alias("tf"))
+    return single.unionByName(several.select("phrase", doc, "tf", "len"))
+
+
+def search(queries: DataFrame, query: str, query_text: str, index: LexicalIndex, doc: str, k: int) -> DataFrame:
+    """The ``k`` best documents of each query by BM25: ``query``, ``doc``, ``score``, ``rank``. A word of the query that the
+    index holds as several terms must occur as a phrase; a word counts as often as it occurs; ties go to the smaller
+    document; a query without terms finds nothing."""
+    asked = phrases(queries, query, query_text)
+    hits = phrase_hits(asked, index, doc)
+    of_phrase = hits.groupBy("phrase").agg(F.count("*").alias("df"))
+    whole = index.lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
+    j = asked.join(of_phrase, "phrase").join(hits, "phrase").crossJoin(whole)  # one row of totals
+    scored = j.groupBy(query, doc).agg(F.sum(F.col("qf") * bm25(F.col("docs"), F.col("df"), F.col("tf"), F.col("len"), F.col("mean"))).alias("s"))
     scored = scored.withColumn("score", F.round("s", 6))
     best = Window.partitionBy(query).orderBy(F.desc("score"), doc)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(query, doc, "score", "rank")
 
 
+def lexical_top_k(queries: DataFrame, query: str, query_text: str, docs: DataFrame, doc: str, doc_text: str, k: int) -> DataFrame:
+    """``search`` in an index of ``docs`` that is built once for it; to search more than once, store the index."""
+    p = materialize(postings(docs, doc, doc_text).withColumn("bucket", F.lit(0)))
+    return search(queries, query, query_text, LexicalIndex(p, p.select(doc, "len").distinct(), 1), doc, k)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -94,28 +132,43 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k:
 
 def full_ranks(judged: DataFrame, queries: DataFrame, corpus: DataFrame, key: str, vector: str, block: int = 2_048) -> DataFrame:
     """``judged`` (query_id, doc_id, gain) with ``rank``, each judged document's place among all rows of the corpus by
-    inner product, ties by smaller id. Ranks are counted block by block, so no query's full ranking is ever sorted."""
-    vec = corpus.select(F.col(key).alias("doc_id"), F.col(vector).alias("dv"))
-    j = judged.join(vec, "doc_id").join(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv")), "query_id")
-    per_query = j.groupBy("query_id").agg(F.first("qv").cast("array<double>").alias("qv"), F.collect_list(F.struct("doc_id", F.col("dv").cast("array<double>").alias("v"))).alias("js"))
-    per_query = per_query.select("query_id", "qv", F.transform("js", lambda x: x.doc_id).alias("j_ids"), F.transform("js", lambda x: x.v).alias("j_vecs"))
-    blocks = _blocks(corpus, key, vector, block, "c")
+    inner product, ties by smaller id. Ranks are counted block by block, so no query's full ranking is ever sorted; judged
+    rows are blocked as well, and a pair of blocks is one matrix product."""
+    vec = corpus.select(F.col(key).alias("doc_id"), F.col(vector).cast("array<double>").alias("dv"))
+    j = judged.join(vec, "doc_id").join(queries.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("qv")), "query_id")
+    own = j.select("query_id", "doc_id", "qv", F.round(dot(F.col("qv"), F.col("dv")), 6).alias("own"))
+    lots = max(1, -(-judged.count() // block))
+    entry = F.struct("query_id", "doc_id", "own", "qv")
+    asked = own.groupBy(F.pmod(F.xxhash64("query_id", "doc_id"), F.lit(lots)).alias("lot")).agg(F.collect_list(entry).alias("l"))  # about ``block`` rows
+    field = lambda n: F.transform("l", lambda x: x[n])
+    asked = asked.select(field("query_id").alias("q_ids"), field("doc_id").alias("d_ids"), field("own").alias("owns"), field("qv").alias("q_vecs"))
+    pairs = asked.crossJoin(_blocks(corpus, key, vector, block, "c").select("c_ids", "c_vecs"))  # blocks, not rows
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                q = np.asarray(r.qv)
-                ids, sims = np.asarray(r.c_ids), np.round(np.vstack(r.c_vecs) @ q, 6)
-                j_ids, own = np.asarray(r.j_ids), np.round(np.vstack(r.j_vecs) @ q, 6)
-                before = (sims[None, :] > own[:, None]) | ((sims[None, :] == own[:, None]) & (ids[None, :] < j_ids[:, None]))
-                before &= ids[None, :] != r.query_id
-                yield pd.DataFrame({"query_id": r.query_id, "doc_id": j_ids, "before": before.sum(1)})
-
-    counted = per_query.crossJoin(blocks).mapInPandas(count, "query_id long, doc_id long, before long")
+                q_ids, d_ids, owns = np.asarray(r.q_ids), np.asarray(r.d_ids), np.asarray(r.owns)
+                different, row = np.unique(q_ids, return_index=True)
+                ids, sims = np.asarray(r.c_ids), np.round(np.vstack(r.q_vecs)[row] @ np.vstack(r.c_vecs).T, 6)
+                before = np.zeros(len(q_ids), np.int64)
+                place = np.searchsorted(different, q_ids)
+                for at in range(0, len(q_ids), 256):
+                    s, o, d, q = sims[place[at : at + 256]], owns[at : at + 256, None], d_ids[at : at + 256, None], q_ids[at : at + 256, None]
+                    before[at : at + 256] = (((s > o) | ((s == o) & (ids[None, :] < d))) & (ids[None, :] != q)).sum(1)
+                yield pd.DataFrame({"query_id": q_ids, "doc_id": d_ids, "before": before})
+
+    counted = pairs.repartition(max(8, pairs.sparkSession.sparkContext.defaultParallelism)).mapInPandas(count, "query_id long, doc_id long, before long")
     ranks = counted.groupBy("query_id", "doc_id").agg((F.sum("before") + 1).alias("rank"))
     return judged.join(ranks, ["query_id", "doc_id"])
 
 
+def gold_index_quality(queries: DataFrame, gold: DataFrame, corpus: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
+    """One row over queries with one right document each (``gold``: query_id, doc_id): the share found among the first
+    1..k of the whole corpus, and the mean reciprocal rank."""
+    r = full_ranks(gold.withColumn("gain", F.lit(1.0)), queries, corpus, key, vector)
+    return r.agg(F.count("*").alias("queries"), *(F.avg((F.col("rank") <= i).cast("double")).alias(f"recall{i}") for i in range(1, k + 1)), F.avg(1.0 / F.col("rank")).alias("mrr"))
+
+
 def deciding_ranks(judged: DataFrame, queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int = 5, m: int = 3) -> DataFrame:
     """Those rows of ``judged``, with ``rank``, that ``ranking_quality`` can't do without: each query's ``max(k, m)`` best by
     gain and the judged ones among its ``k`` nearest. All other rows add nothing to any of its figures, so they equal those of

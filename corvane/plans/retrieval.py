@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import heaps, markdown, retrieval
-from ..session import table
+from ..session import scratch_path, table
+from ..sources import readers, sinks
 
 # The same class as functions.text.BLANKS, for the SQL engine's regular expressions.
 _B = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -48,6 +49,15 @@ def context_prompts(spark: SparkSession, d: str) -> DataFrame:
     return markdown.context_prompt(hits, "case_id", "query", "rank", "source", "text").select("case_id", "prompt")
 
 
+def phrase_searches(spark: SparkSession, d: str) -> DataFrame:
+    """The five best chunks for single words that the index holds as several terms, searched in a stored index."""
+    path = scratch_path(spark, "lexical-index")
+    sinks.write_lexical_index(_corpus(spark, d), "chunk_id", "text", path, 8)
+    words = ["گل\u200cبرگ", "می\u200cرود", "هم\u200cسفر است", "بچّه", "the story was", "!", "کنار"]
+    queries = spark.createDataFrame(list(enumerate(words)), "query_no int, words string")
+    return retrieval.search(queries, "query_no", "words", readers.lexical_index(spark, path), "chunk_id", 5)
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "embeddings")
     return v.filter("vec_id % 100 = 0"), v
@@ -67,6 +77,30 @@ def _judged(spark: SparkSession, d: str, pool: int = 20) -> DataFrame:
     return picked.select("query_id", "doc_id", (((F.col("query_id") * 7919 + F.col("doc_id") * 104729) % 1001) / 1000.0).alias("gain"))
 
 
+def gold_index_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's one right row is the next one by id."""
+    q, v = _vectors(spark, d)
+    gold = q.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("doc_id"))
+    out = retrieval.gold_index_quality(q, gold, v, "vec_id", "embedding")
+    return out.select("queries", *(F.round(c, 6).alias(c) for c in out.columns if c != "queries"))
+
+
+def own_pool_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Scored hits ranked inside their own group by a hash that stands for a model's similarity."""
+    r = table(spark, d, "retrieved_chunks").filter("score is not null and not isnan(score)").groupBy("question_ref", "persona_id", "chunk_id").agg(F.max("score").alias("score"))
+    r = r.withColumn("sim", F.conv(F.substring(F.md5("chunk_id"), 1, 8), 16, 10).cast("long"))
+    out = retrieval.own_pool_quality(r, ["question_ref", "persona_id"], "chunk_id", "score", "sim")
+    return out.select("groups", *(F.round(c, 6).alias(c) for c in out.columns if c != "groups"))
+
+
+def anchor_penalty(spark: SparkSession, d: str) -> DataFrame:
+    """How far unit vectors have moved from those of the next row, which stand for what they were before training."""
+    v = table(spark, d, "embeddings")
+    a = v.select("vec_id", retrieval.unit(F.col("embedding")).alias("v"))
+    b = v.select((F.col("vec_id") - 1).alias("vec_id"), retrieval.unit(F.col("embedding")).alias("base"))
+    return retrieval.anchor_penalty(a.join(b, "vec_id"), "v", "base").select(F.round("penalty", 6).alias("penalty"))
+
+
 def ranking_quality(spark: SparkSession, d: str) -> DataFrame:
     q, v = _vectors(spark, d)
     ranked = retrieval.full_ranks(_judged(spark, d), q, v, "vec_id", "embedding")
@@ -151,7 +185,7 @@ def repeated_trigrams(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (chunk_windows, chunk_stats, index_terms, bm25_top5, context_prompts, dense_top5, ranking_quality, ranking_means, training_losses, ranking_quality_whole, ranking_means_whole, training_losses_whole, heading_blocks, lesson_chunks, token_fidelity, repeated_trigrams)
+    for f in (chunk_windows, chunk_stats, index_terms, bm25_top5, phrase_searches, gold_index_quality, own_pool_quality, anchor_penalty, context_prompts, dense_top5, ranking_quality, ranking_means, training_losses, ranking_quality_whole, ranking_means_whole, training_losses_whole, heading_blocks, lesson_chunks, token_fidelity, repeated_trigrams)
 }
 
 _WINDOWS = f"""
@@ -160,22 +194,28 @@ with w as (
   from (select doc_id, text, unnest(range(0, length(text), 650)) as s from documents where length(text) > 0)
 )
 """
-_TERMS = """
+# The normalised form and the terms of ``functions.text``.
+_NORM = lambda c: f"regexp_replace(regexp_replace(translate(translate({c}, 'يك', 'یک'), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), '[{_B}]+', ' ', 'g'), '^[{_B}]+|[{_B}]+$', '', 'g')"
+_SPLIT = lambda c: f"list_filter(regexp_split_to_array(regexp_replace(translate(lower({c}), '{tx.ACCENTED}', '{tx.PLAIN}'), '[\\x{{300}}-\\x{{331}}]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '')"
+_TERMS = f"""
 with corpus as (select distinct chunk_id, text from chunks),
- toks as (select chunk_id, term from (select chunk_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as term from corpus) where term != ''),
+ doc as (select chunk_id, {_SPLIT(_NORM('text'))} as ts from corpus),
+ toks as (select chunk_id, unnest(ts) as term, generate_subscripts(ts, 1) as place from doc),
  tf as (select chunk_id, term, count(*) as tf from toks group by 1, 2)
 """
 _BM25 = (
     _TERMS
-    + """,
- len as (select chunk_id, sum(tf) as len from tf group by 1),
+    + f""",
+ len as (select chunk_id, len(ts) as len from doc where len(ts) > 0),
  tot as (select count(*) as docs, avg(len) as mean from len),
- dfs as (select term, count(*) as df from tf group by 1),
  qs as (select distinct case_id, query from prompt_records where case_id % 100 = 0),
- qt as (select case_id, term, count(*) as qf from (select case_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}]+')) as term from qs) where term != '' group by 1, 2),
+ qt as (select case_id, {_SPLIT('w')} as phrase, count(*) as qf from (select case_id, unnest(string_split({_NORM('query')}, ' ')) as w from qs) where len({_SPLIT('w')}) > 0 group by 1, 2),
+ ph as (select distinct phrase from qt),
+ hits as (select phrase, chunk_id, count(*) as tf from ph join toks on term = phrase[1] join doc using (chunk_id) where ts[place:place + len(phrase) - 1] = phrase group by 1, 2),
+ dfs as (select phrase, count(*) as df from hits group by 1),
  sc as (
   select case_id, chunk_id, round(sum(qf * greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) as score
-  from qt join dfs using (term) join tf using (term) join len using (chunk_id) cross join tot group by 1, 2),
+  from qt join dfs using (phrase) join hits using (phrase) join len using (chunk_id) cross join tot group by 1, 2),
  top as (select *, row_number() over (partition by case_id order by score desc, chunk_id) as rank from sc qualify rank <= 5)
 """
 )
@@ -211,6 +251,23 @@ ORACLE = {
     "context_prompts": _BM25
     + """select case_id, string_agg('[' || rank || '] (source: ' || source || ') ' || text, chr(10) order by rank) || chr(10) || chr(10) || 'Question: ' || any_value(query) as prompt
   from top join corpus using (chunk_id) join (select distinct chunk_id, source from chunks) using (chunk_id) join qs using (case_id) group by case_id""",
+    "phrase_searches": _BM25.replace("select distinct case_id, query from prompt_records where case_id % 100 = 0", "select i as case_id, w as query from (values (0, 'گل\u200cبرگ'), (1, 'می\u200cرود'), (2, 'هم\u200cسفر است'), (3, 'بچّه'), (4, 'the story was'), (5, '!'), (6, 'کنار')) t(i, w)")
+    + "select case_id as query_no, chunk_id, score, cast(rank as integer) as rank from top",
+    "gold_index_quality": """
+ with q as (select vec_id as query_id, cast(embedding as double[]) as qv from embeddings where vec_id % 100 = 0), v as (select vec_id as doc_id, cast(embedding as double[]) as dv from embeddings),
+ r as (select query_id, doc_id, row_number() over (partition by query_id order by round(list_dot_product(qv, dv), 6) desc, doc_id) as rank from q cross join v where query_id != doc_id)
+ select count(*) as queries, """
+    + ", ".join(f"round(avg(case when rank <= {i} then 1.0 else 0.0 end), 6) as recall{i}" for i in range(1, 6))
+    + ", round(avg(1.0 / rank), 6) as mrr from r where doc_id = query_id + 1",
+    "own_pool_quality": """
+ with sc as (select question_ref, persona_id, chunk_id, max(score) as score from retrieved_chunks where score is not null and not isnan(score) group by 1, 2, 3),
+ r as (select *, count(*) over g as n, max(score) over g as best, row_number() over (partition by question_ref, persona_id order by cast('0x' || substring(md5(chunk_id), 1, 8) as bigint) desc, chunk_id) as rank, row_number() over (partition by question_ref, persona_id order by score desc, chunk_id) as ideal from sc window g as (partition by question_ref, persona_id)),
+ p as (select min(case when best - score < 1e-6 then rank end) as first, sum(case when rank <= 5 then score / log2(rank + 1.0) else 0.0 end) as dcg, sum(case when ideal <= 5 then score / log2(ideal + 1.0) else 0.0 end) as idcg from r where n >= 2 group by question_ref, persona_id)
+ select count(*) as groups, """
+    + ", ".join(f"round(avg(case when first <= {i} then 1.0 else 0.0 end), 6) as recall{i}" for i in range(1, 6))
+    + ", round(avg(case when idcg > 0 then dcg / idcg else 0.0 end), 6) as ndcg5 from p",
+    "anchor_penalty": """
+ with v as (select vec_id, cast(embedding as double[]) as e from embeddings) select round(avg(1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 6) as penalty from v a join v b on b.vec_id = a.vec_id + 1""",
     "dense_top5": """
  select query_id, doc_id, score, cast(rank as integer) as rank from (
   select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from (

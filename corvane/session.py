@@ -46,16 +46,18 @@ def _run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corvane/{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with the run's other tables."""
+    _clear_at_exit(spark)
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends, and a lost executor loses nothing. The folder of
     a run is removed when the driver ends, or by ``clear``."""
-    spark = df.sparkSession
-    path = f"{_run_dir(spark)}/{uuid.uuid4().hex}"
-    if spark.sparkContext.applicationId not in _CLEARED_AT_EXIT:
-        _CLEARED_AT_EXIT.add(spark.sparkContext.applicationId)
-        atexit.register(_clear_quietly, spark)  # runs before the context's own exit, which was registered earlier
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[back] = path
     return back
 
@@ -83,6 +85,12 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, _run_dir(spark))
 
 
+def _clear_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext.applicationId not in _CLEARED_AT_EXIT:
+        _CLEARED_AT_EXIT.add(spark.sparkContext.applicationId)
+        atexit.register(_clear_quietly, spark)  # runs before the context's own exit, which was registered earlier
+
+
 def _clear_quietly(spark: SparkSession) -> None:
     try:
         if spark.sparkContext._jsc is not None:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.retrieval import LexicalIndex
 
 #: Explicit schemas; nothing on a hot path is inferred.
 CORPUS = "chunk_id string, source string, lesson_id string, section_type string, text string"
@@ -125,3 +128,75 @@ def config_digest(config: dict[str, Any]) -> str:
 def adapter_base(line: Column) -> Column:
     """The base model that an adapter's configuration names; null if it is absent or the JSON malformed."""
     return F.get_json_object(line, "$.base_model_name_or_path")
+
+
+def lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """An index that ``sinks.write_lexical_index`` stored, for ``retrieval.search``."""
+    lengths = spark.read.parquet(f"{path}/lengths")
+    first = lengths.select("buckets").first()
+    return LexicalIndex(spark.read.parquet(f"{path}/postings"), lengths.drop("buckets"), first.buckets if first else 1)
+
+
+def index_count(index: LexicalIndex) -> int:
+    """How many documents with terms the index holds."""
+    return index.lengths.count()
+
+
+def vector_table(spark: SparkSession, path: str) -> DataFrame:
+    """Unit vectors and their payload as ``sinks.write_vectors`` stored them, for ``retrieval.dense_top_k``."""
+    return spark.read.parquet(path)
+
+
+def config_mapping(text: str, path: str = "") -> dict[str, Any]:
+    """A configuration from JSON or, where a YAML parser is there, YAML text; anything but a mapping is an error."""
+    try:
+        found = json.loads(text)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ModuleNotFoundError:
+            raise ValueError(f"{path or 'the configuration'} is no JSON, and there is no YAML parser") from None
+        found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path or 'the configuration'} is no mapping")
+    return found
+
+
+def load_config(path: str, seed: bool = False) -> dict[str, Any]:
+    """A configuration file on the driver; with ``seed``, its ``seed`` also seeds the generators of the driver."""
+    with open(path, encoding="utf-8") as f:
+        found = config_mapping(f.read(), path)
+    if seed and found.get("seed") is not None:
+        random.seed(found["seed"])
+        np.random.seed(found["seed"])
+    return found
+
+
+OUTPUTS = "question_ref string, persona_id string, rewrite string, query string"
+JUDGMENTS = "job_key string, model_left string, model_right string, candidate_a string, candidate_b string, question_ref string, persona_id string, winner string, status string"
+
+
+def tournament_outputs(spark: SparkSession, run: str) -> DataFrame:
+    """All candidates' outputs of a tournament run (outputs/<candidate>.jsonl): candidate, question_ref, persona_id,
+    rewrite, query."""
+    o = json_lines(spark, f"{run.rstrip('/')}/outputs", OUTPUTS)
+    return o.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", "").alias("candidate"), "question_ref", "persona_id", "rewrite", "query")
+
+
+def tournament_judgments(spark: SparkSession, run: str) -> DataFrame:
+    """The judgments of a run (judgments.jsonl) with ``result``, that of the left model, null without a verdict."""
+    j = json_lines(spark, f"{run.rstrip('/')}/judgments.jsonl", JUDGMENTS)
+    won = F.when(F.col("winner") == "A", F.col("candidate_a")).when(F.col("winner") == "B", F.col("candidate_b"))
+    result = F.when(F.col("status") != "ok", None).when(F.col("winner") == "TIE", "tie").when(won == F.col("model_left"), "win").when(won == F.col("model_right"), "loss")
+    return j.withColumn("result", result)
+
+
+def tournament_manifests(spark: SparkSession, run: str) -> DataFrame:
+    """What each candidate's outputs were made from (manifests/<candidate>.json): candidate, manifest as a VARIANT."""
+    m = spark.read.text(f"{run.rstrip('/')}/manifests", wholetext=True)
+    return m.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("candidate"), F.parse_json("value").alias("manifest"))
+
+
+def tournament_summary(spark: SparkSession, run: str) -> DataFrame:
+    """The run's summary.json as one VARIANT."""
+    return spark.read.text(f"{run.rstrip('/')}/summary.json", wholetext=True).select(F.parse_json("value").alias("summary"))
