@@ -55,6 +55,8 @@ class Index:
         base[heads > 0] = level[heads[heads > 0] - 1]
         level = level - base[doc]
         depth = level + down  # of the container that a mark belongs to; an opening bracket belongs to its own
+        # marks outside of all containers, such as commas of prose, belong to none
+        pos, doc, ch, depth, up, down = (x[depth > 0] for x in (pos, doc, ch, depth, up, down))
         # marks of one container stand together once sorted by text, depth and place
         order = np.lexsort((pos, depth, doc))
         pos, doc, ch, depth, up, down = (x[order] for x in (pos, doc, ch, depth, up, down))
@@ -145,10 +147,16 @@ class _Reader:
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
+        self.exams: dict = {}
 
     def add(self, rec, kind, key, parent, no, **x) -> None:
         self.rows.append((rec, kind, key, parent, no, *(x.get(c) for c in ("id", "type", "group_id", "number", "points", "answer", "explanation", "text"))))
 
+    def _next(self, rec) -> str:
+        """The key of a record's next exam: the record, then record/1 and so on."""
+        n = self.exams[rec] = self.exams.get(rec, -1) + 1
+        return f"{rec}/{n}" if n else f"{rec}"
+
     def read(self, records: list[int], texts: list[str | None]) -> None:
         pending = [(t, self._exam, (r,)) for r, t in zip(records, texts) if t]
         while pending:
@@ -183,7 +191,14 @@ class _Reader:
         if c is None:
             return
         if not ix.c_object[c]:  # a list around exams, or a bare list of questions
-            for v in ix.values(c):
+            values = ix.values(c)
+            held = [ix.fields(k) for v in values if (k := ix.child(v)) is not None and ix.c_object[k]]
+            if held and all(("stem" in f or "id" in f) and "questions" not in f for f in held):
+                key = self._next(rec)
+                self.add(rec, "exam", key, None, 1)
+                self._questions(ix, span, pending, rec, key, "q")
+                return
+            for v in values:
                 self._exam(ix, v, pending, rec)
             return
         f = ix.fields(c)
@@ -192,8 +207,7 @@ class _Reader:
                 if e in f and (ix.child(f[e]) is not None or ix.raw(*f[e])[:1] == b'"'):
                     self._exam(ix, f[e], pending, rec)
                     return
-        n = sum(r[1] == "exam" and r[0] == rec for r in self.rows[-1:])
-        key = f"{rec}/{n}" if n else f"{rec}"
+        key = self._next(rec)
         self.add(rec, "exam", key, None, 1, text=self.text(ix, f.get("exam_title")))
         if "passages" in f:
             self._passages(ix, f["passages"], pending, rec, key)
@@ -297,18 +311,107 @@ def flatten(df: DataFrame, key: str = "record_id", payload: str = "payload", ver
     broken or no JSON give no rows, nor do records with a null key; prose around the JSON, envelopes and JSON inside
     strings are seen through; fields that are absent, null or empty give no rows, a null element takes its place but is no
     row. Texts of any length are read whole. Other columns are not read."""
+    return _payloads(df, key, payload, version).mapInPandas(_batched(flatten_records), ROWS)
+
+
+def _payloads(df: DataFrame, key: str, payload: str, version: str | None) -> DataFrame:
+    """One payload a record: k, p."""
     cols = [F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{payload}`").alias("p"), (F.col(f"`{version}`") if version else F.lit(0)).alias("v")]
     rows = df.select(*cols).filter("k is not null and p is not null")
-    rows = rows.groupBy("k").agg(F.max(F.struct("v", "p")).alias("x")).select("k", "x.p")
+    return rows.groupBy("k").agg(F.max(F.struct("v", "p")).alias("x")).select("k", "x.p")
+
+
+def _batched(read_all):
+    """A function on batches of payloads that reads about a million characters at once."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            upto = b.p.str.len().to_numpy().cumsum() // 1_000_000  # bounds what is indexed at once
+            upto = b.p.str.len().to_numpy().cumsum() // 1_000_000
             for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(upto)) + 1):
                 if len(part):
-                    yield flatten_records(b.k.iloc[part].tolist(), b.p.iloc[part].tolist())
-
-    return rows.mapInPandas(read, ROWS)
+                    yield read_all(b.k.iloc[part].tolist(), b.p.iloc[part].tolist())
+
+    return read
+
+
+#: Columns of the rows that ``nodes`` emits.
+NODES = "record_id long, node int, parent int, field string, no int, depth int, kind string, children int, value string"
+_BLANK = np.frombuffer(b" \t\n\r", np.uint8)
+_KINDS = np.array(["object", "array", "string", "true", "false", "null", "number"], dtype=object)
+
+
+def node_rows(records: list[int], texts: list[str | None]) -> pd.DataFrame:
+    """All values of all texts as one table, read off the spans of the structural index at once."""
+    kept = [(r, t) for r, t in zip(records, texts) if t]
+    ix = Index([t.encode("utf-8", "surrogatepass") for _, t in kept])
+    roots = ix.roots()
+    a = np.frombuffer(ix.data, np.uint8)
+    n = len(a)
+    solid = ~np.isin(a, _BLANK)
+    after = np.minimum.accumulate(np.where(solid, np.arange(n), n)[::-1])[::-1]  # the next place that is no blank
+    before = np.maximum.accumulate(np.where(solid, np.arange(n), -1))  # the last one
+    top = np.array([r for r in roots if r is not None], np.int64)
+    # containers inside a root: their span lies in the root's
+    lo, hi = np.full(len(kept), n), np.full(len(kept), -1)
+    lo[ix.c_doc[top]], hi[ix.c_doc[top]] = ix.c_open[top], ix.c_close[top]
+    own = ix.v_owner
+    start, end = after[np.minimum(ix.v_start, n - 1)], before[np.maximum(ix.v_end - 1, 0)] + 1
+    doc = ix.c_doc[own]
+    real = (start < end) & (ix.c_open[own] >= lo[doc]) & (ix.v_end <= hi[doc])
+    own, start, end, doc, key = own[real], start[real], end[real], doc[real], ix.v_key[real]
+    # a node a root and a node a value, in order of place
+    t_start, t_end, t_doc = ix.c_open[top], ix.c_close[top] + 1, ix.c_doc[top]
+    place = np.concatenate([t_start, start])
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    docs = np.concatenate([t_doc, doc])[order]
+    ends = np.concatenate([t_end, end])[order]
+    owner = np.concatenate([np.full(len(top), -1), own])[order]
+    keys = np.concatenate([np.full(len(top), -1), key])[order]
+    number = np.arange(len(place)) - np.searchsorted(docs, docs)  # documents ascend with places
+    # the container that a node opens, and from it the node of a container
+    at = np.full(n + 1, -1)
+    at[ix.c_open] = np.arange(len(ix.c_open))
+    opened = at[place] if len(place) else place
+    node_of = np.full(len(ix.c_open) + 1, -1)
+    node_of[opened[opened >= 0]] = number[opened >= 0]
+    parent = np.where(owner >= 0, node_of[owner], -1)
+    depth = np.where(owner >= 0, ix.c_depth[owner] if len(ix.c_depth) else 0, 0)
+    # the place among the owner's values: places ascend, so it is the rank in the owner's run
+    by_owner = np.argsort(owner, kind="stable")
+    run = owner[by_owner]
+    no = np.zeros(len(place), np.int64)
+    no[by_owner] = np.arange(len(run)) - np.searchsorted(run, run) + 1
+    no[owner < 0] = 1
+    children = np.bincount(owner[owner >= 0], minlength=len(ix.c_open)) if len(ix.c_open) else np.zeros(1, np.int64)
+    first = a[place] if len(place) else np.zeros(0, np.uint8)
+    kind = np.full(len(place), 6)
+    for i, c in enumerate(b'{["tfn'):
+        kind[first == c] = i
+    leaf = kind >= 2
+    data = ix.data
+    value = [_Reader.text(ix, (s, e)) if k == 2 else data[s:e].decode() if k != 5 else None for s, e, k in zip(place[leaf].tolist(), ends[leaf].tolist(), kind[leaf].tolist())]
+    values = np.full(len(place), None, dtype=object)
+    values[leaf] = value
+    names = np.full(len(place), None, dtype=object)
+    named = np.flatnonzero(keys >= 0)
+    names[named] = [_Reader.text(ix, (int(ix.k_start[k]), int(ix.k_end[k]))) for k in keys[named]]
+    rec = np.array([r for r, _ in kept], np.int64)
+    held = np.where(opened >= 0, children[np.maximum(opened, 0)], 0)
+    up = pd.array(np.where(owner >= 0, parent, 0), dtype="Int32")
+    up[owner < 0] = pd.NA
+    return pd.DataFrame({"record_id": rec[docs], "node": number, "parent": up, "field": names, "no": no, "depth": depth, "kind": _KINDS[kind], "children": held, "value": values})
+
+
+def nodes(df: DataFrame, key: str = "record_id", payload: str = "payload", version: str | None = "received_at") -> DataFrame:
+    """Every value of every payload, whatever its schema, as one row: ``record_id``, ``node`` (from 0 on in order of place),
+    ``parent`` (the node that holds it, null for the outermost), ``field`` (its key in an object), ``no`` (its place in its
+    parent from 1 on), ``depth``, ``kind`` (object, array, string, number, true, false, null), ``children`` (how many values
+    it holds) and ``value`` (of strings, decoded, of numbers and truths as written).
+
+    Which rows and payloads count is as for ``flatten``, but JSON inside strings stays a string, and of equal keys of an
+    object all are given. Flat tables of any records are filters and joins of this one on (record_id, parent)."""
+    return _payloads(df, key, payload, version).mapInPandas(_batched(node_rows), NODES)
 
 
 def tables(flat: DataFrame) -> dict[str, DataFrame]:

@@ -33,5 +33,10 @@ def p6_children(spark: SparkSession, d: str) -> DataFrame:
     return _tables(spark, d)["children"]
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_exams, p6_passages, p6_questions, p6_children)}
+def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of every payload with its parent, whatever the schema."""
+    return nested.nodes(table(spark, d, "exam_records"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_exams, p6_passages, p6_questions, p6_children, p6_nodes)}
 ORACLE: dict[str, str] = {}

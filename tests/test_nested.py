@@ -102,3 +102,54 @@ def test_table(spark):
     joined = t["children"].join(t["questions"].select("record_id", "question_key"), ["record_id", "question_key"])
     assert joined.count() == 6
     assert nested.flatten(df.filter("1 = 0")).count() == 0
+
+
+def _walk(v, out, parent=None, field=None, no=1, depth=0):
+    me = len(out)
+    kind = {dict: "object", list: "array", type(None): "null", str: "string"}.get(type(v)) or ({True: "true", False: "false"}[v] if isinstance(v, bool) else "number")
+    kids = list(v.items()) if isinstance(v, dict) else [(None, x) for x in v] if isinstance(v, list) else []
+    out.append((me, parent, field, no, depth, kind, len(kids), v if kind == "string" else json.dumps(v) if kind in ("true", "false", "number") else None))
+    for i, (f, x) in enumerate(kids, 1):
+        _walk(x, out, me, f, i, depth + 1)
+    return out
+
+
+def test_nodes_against_a_parser(spark):
+    """Values of any schema, in one batch with prose, broken and empty texts between them."""
+    rng = random.Random(2)
+
+    def value(d=0):
+        r = rng.random()
+        if d < 4 and r < 0.3:
+            return {rng.choice(["a", 'b"', "ک", "d\\", "e f"]) + str(i): value(d + 1) for i in range(rng.randint(0, 4))}
+        if d < 4 and r < 0.55:
+            return [value(d + 1) for _ in range(rng.randint(0, 4))]
+        return rng.choice([None, True, False, 1, -2500.0, "", "x,y:[{", 'quote"\\', "متن 😀", "\n"])
+
+    docs, want = [], {}
+    for i in range(400):
+        v = value()
+        if not isinstance(v, dict | list):
+            v = [v]
+        text = json.dumps(v, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2]))
+        broken = rng.random() < 0.1
+        docs.append((i, rng.choice(["", "", " \n", "note: a, b "]) + (text[: len(text) // 2] if broken else text + rng.choice(["", " end: x"])), i))
+        if not broken:
+            want[i] = _walk(v, [])
+    docs += [(900, None, 1), (901, "", 1), (None, "[]", 1), (902, "no JSON, here: none", 1), docs[3]]
+    df = spark.createDataFrame(docs, "record_id long, payload string, received_at long").coalesce(1)
+    got = {}
+    for r in nested.nodes(df).collect():
+        got.setdefault(r.record_id, []).append(tuple(r)[1:])
+    whole = {k: v for k, v in got.items() if k in want}
+    assert {k: sorted(v) for k, v in whole.items()} == {k: sorted(v) for k, v in want.items()} and set(got).isdisjoint({900, 901, 902, None})
+    assert nested.nodes(df.filter("1 = 0")).count() == 0
+
+
+def test_bare_lists_of_questions_and_several_exams():
+    flat = nested.flatten_records([5, 6], ['[{"id":"q1","stem":"s","options":["a"]},{"id":"q2","stem":"t"}]', '[{"questions":[{"id":"x"}]},{"questions":[{"id":"y"}]}]'])
+    rows = [tuple(r) for r in flat[["record_id", "kind", "key", "parent", "id"]].astype(object).where(flat[["record_id", "kind", "key", "parent", "id"]].notna(), None).values.tolist()]
+    assert rows == [
+        (5, "exam", "5", None, None), (5, "question", "5/q1", "5", "q1"), (5, "option", "5/q1/option1", "5/q1", "q1"), (5, "question", "5/q2", "5", "q2"),
+        (6, "exam", "6", None, None), (6, "question", "6/q1", "6", "x"), (6, "exam", "6/1", None, None), (6, "question", "6/1/q1", "6/1", "y"),
+    ]
