@@ -81,18 +81,18 @@ def reference(ref: Column) -> tuple[Column, Column]:
 
 
 def retryable(status: Column) -> Column:
-    """Whether a call that failed with this HTTP status (null: no status) may be tried again."""
-    return status.isNull() | status.isin(408, 429) | (status >= 500) | (status < 400)
+    """Whether a call that failed with this HTTP status may be tried again: without a status, on 408, 429 and from 500 on."""
+    return status.isNull() | status.isin(408, 429) | (status >= 500)
 
 
 def lesson_id(heading: Column) -> Column:
-    """``lesson-NN`` from digits or an ordinal word behind the word for lesson; null if there is neither."""
+    """``lesson-NN`` from Persian digits or an ordinal word behind the word for lesson; null if there is neither."""
     from .text import fold_digits
 
-    # Ordinal words from one to eighteen.
-    ordinals = "اول دوم سوم چهارم پنجم ششم هفتم هشتم نهم دهم یازدهم دوازدهم سیزدهم چهاردهم پانزدهم شانزدهم هفدهم هجدهم".split()
-    digits = F.regexp_extract(fold_digits(heading), r"درس\s+(\d+)", 1).try_cast("int")
+    # Ordinal words from one to seventeen; the first has two forms.
+    ordinals = {"یکم": 1, "اول": 1, "دوم": 2, "سوم": 3, "چهارم": 4, "پنجم": 5, "ششم": 6, "هفتم": 7, "هشتم": 8, "نهم": 9, "دهم": 10, "یازدهم": 11, "دوازدهم": 12, "سیزدهم": 13, "چهاردهم": 14, "پانزدهم": 15, "شانزدهم": 16, "هفدهم": 17}
+    digits = F.regexp_extract(fold_digits(F.regexp_extract(heading, r"درس\s+([۰-۹]+)", 1)), r"(\d+)", 1).try_cast("int")
     word = F.regexp_replace(F.regexp_extract(heading, r"درس\s+(\S+)", 1), "[:،]+$", "")
-    named = F.create_map(*[x for i, w in enumerate(ordinals, 1) for x in (F.lit(w), F.lit(i))])
+    named = F.create_map(*[x for w, i in ordinals.items() for x in (F.lit(w), F.lit(i))])
     n = F.coalesce(digits, F.try_element_at(named, word))
     return F.when(n.isNotNull(), F.format_string("lesson-%02d", n))

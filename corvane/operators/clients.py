@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import json
+import subprocess
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -12,7 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import retryable
 from .retrieval import dot
 
 
@@ -57,9 +61,10 @@ class CallFailed(Exception):
         self.status = status
 
 
-def may_retry(status: int | None) -> bool:
-    """Transient: no status, 408, 429 or a server's fault. Other client errors are fatal."""
-    return status is None or status in (408, 429) or status >= 500 or status < 400
+def may_retry(error: Exception) -> bool:
+    """The rule of ``parsing.retryable`` on the status of an exception; a value error, such as a malformed reply, may pass."""
+    status = getattr(error, "status", None)
+    return isinstance(error, ValueError) or status is None or status in (408, 429) or status >= 500
 
 
 def encode(df: DataFrame, text: str, into: str, encoder: Callable[[], Encoder], instruction: Column | None = None) -> DataFrame:
@@ -78,36 +83,76 @@ def encode(df: DataFrame, text: str, into: str, encoder: Callable[[], Encoder],
     return keyed.join(vectors, "_t", "left").drop("_t")
 
 
-def complete(df: DataFrame, key: list[str], prompt: str, client: Callable[[], ChatClient], attempts: int = 3, wait: float = 1.0, factor: float = 2.0, longest: float = 30.0) -> DataFrame:
-    """``key``, ``reply``, ``attempts`` and ``error``. Transient failures are tried again with growing, capped waits; fatal
-    ones are not. A failed call has a null reply, never a score of zero. Write the result before it is used twice: a call
-    costs, so Spark's own retries must not be the mechanism."""
+def call(model: ChatClient, prompt: str, attempts: int, wait: float, factor: float, longest: float, accept: Callable[[str], bool] | None) -> tuple[str | None, int, str | None, bool]:
+    """One call with retries: reply, attempts, error, and whether the failure is fatal."""
+    error, pause = None, wait
+    for tried in range(1, attempts + 1):
+        try:
+            reply = model.complete(prompt)
+            if accept is not None and not accept(reply):
+                raise ValueError("unusable reply")
+            return reply, tried, None, False
+        except Exception as e:  # noqa: BLE001 - the client's failures become a column
+            error = f"{type(e).__name__}: {e}"
+            if not may_retry(e):
+                return None, tried, error, True
+            if tried < attempts:
+                time.sleep(min(pause, longest))
+                pause *= factor
+    return None, attempts, error, False
+
+
+def complete(
+    df: DataFrame, key: list[str], prompt: str, client: Callable[[], ChatClient], attempts: int = 3, wait: float = 1.0, factor: float = 2.0, longest: float = 30.0, workers: int = 1, accept: Callable[[str], bool] | None = None, abort: bool = False
+) -> DataFrame:
+    """``key``, ``reply``, ``attempts`` and ``error``. Transient failures, and replies that ``accept`` refuses, are tried
+    again with growing, capped waits; fatal ones are not, and with ``abort`` they end the job. Each task has one client, and
+    ``workers`` calls at a time in order of its rows. A failed call has a null reply, never a score of zero; so has a null
+    prompt, which is not sent. Write the result before it is used twice: a call costs, so Spark's own retries must not be
+    the mechanism."""
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
-        for b in batches:
-            rows = []
-            for p in b[prompt]:
-                reply, error, tried, pause = None, None, 0, wait
-                while tried < attempts:
-                    tried += 1
-                    try:
-                        reply, error = model.complete(p), None
-                        break
-                    except Exception as e:  # noqa: BLE001 - the client's failures become a column
-                        error = f"{type(e).__name__}: {e}"
-                        if not may_retry(getattr(e, "status", None)):
-                            break
-                        if tried < attempts:
-                            time.sleep(min(pause, longest))
-                            pause *= factor
-                rows.append((reply, tried, error))
-            yield b[key].reset_index(drop=True).join(pd.DataFrame(rows, columns=["reply", "attempts", "error"]))
+        one = lambda p: (None, 0, "no prompt", False) if p is None else call(model, p, attempts, wait, factor, longest, accept)
+        with ThreadPoolExecutor(max(1, workers)) as pool:
+            for b in batches:
+                prompts = [None if pd.isna(p) else p for p in b[prompt]]
+                rows = list(pool.map(one, prompts))
+                if abort and (fatal := [e for _, _, e, f in rows if f]):
+                    raise CallFailed(f"the endpoint refuses calls: {fatal[0]}")
+                yield b[key].reset_index(drop=True).join(pd.DataFrame([r[:3] for r in rows], columns=["reply", "attempts", "error"]))
 
     return df.select(*key, prompt).mapInPandas(run, f"{fields}, reply string, attempts int, error string")
 
 
+class ChildProcessClient:
+    """Sends prompts to a program of its own, so that what it imports stays out of this process: a JSON line with the prompt
+    on its standard input, a JSON line with ``reply`` or ``error`` on its standard output."""
+
+    def __init__(self, command: list[str]):
+        self.process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True, encoding="utf-8")
+        self.lock = threading.Lock()
+        atexit.register(self.close)
+
+    def complete(self, prompt: str) -> str:
+        with self.lock:  # one question at a time
+            self.process.stdin.write(json.dumps({"prompt": prompt}, ensure_ascii=False) + "\n")
+            self.process.stdin.flush()
+            line = self.process.stdout.readline()
+        if not line:
+            raise CallFailed(f"the child process ended with {self.process.poll()}")
+        found = json.loads(line)
+        if "reply" not in found:
+            raise CallFailed(str(found.get("error")))
+        return found["reply"]
+
+    def close(self) -> None:
+        if self.process.poll() is None:
+            self.process.stdin.close()
+            self.process.wait(10)
+
+
 def two_judges(rows: DataFrame, primary: Column, secondary: Column, answer: Column) -> DataFrame:
     """``status`` and ``failure_stage``: without an answer a row failed in generation, without the primary judge's scores
     in judge_primary; the secondary judge is optional."""
@@ -119,7 +164,3 @@ def encoder_parity(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFra
     """The least cosine between two encoders' vectors of the same rows."""
     j = a.select(key, F.col(vector).alias("_a")).join(b.select(key, F.col(vector).alias("_b")), key)
     return j.agg(F.min(dot(F.col("_a"), F.col("_b")) / F.sqrt(dot(F.col("_a"), F.col("_a")) * dot(F.col("_b"), F.col("_b")))).alias("least_cosine"))
-
-
-def transient(status: Column) -> Column:
-    return retryable(status)

@@ -50,14 +50,46 @@ def verse_entries(df: DataFrame, key: str, text: str) -> DataFrame:
     return lines.groupBy(key, "entry").agg(joined(F.col("bold")).alias("verse"), joined(~F.col("bold")).alias("explanation"))
 
 
-def render_question(stem: Column, passage: Column, options: Column, items: Column) -> Column:
-    """A question with its sections; absent and empty ones are left out, options and items are numbered from 1."""
-    numbered = lambda a: F.array_join(F.transform(a, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
-    section = lambda title, body, there: F.when(there, F.concat(F.lit(title + "\n"), body))
-    return F.concat_ws(
-        "\n\n", section("Passage:", passage, passage.isNotNull()), section("Question:", stem, stem.isNotNull()),
-        section("Options:", numbered(options), F.size(options) > 0), section("Items:", numbered(items), F.size(items) > 0),
-    )
+def _numbered(rows: DataFrame, source: str, *order: str) -> DataFrame:
+    """Corpus chunks (chunk_id, source, lesson_id, section_type, text) of rows with ``lesson``, ``section`` and ``text``;
+    blank texts are left out and take no number."""
+    kept = rows.filter(F.col("text") != "")
+    n = F.row_number().over(Window.partitionBy("doc", "lesson", "section").orderBy(*order))
+    return kept.select("doc", F.format_string("%s:%s:%s:%03d", F.lit(source), "lesson", "section", n).alias("chunk_id"), F.lit(source).alias("source"), F.col("lesson").alias("lesson_id"), F.col("section").alias("section_type"), "text")
+
+
+def _lessons(df: DataFrame, key: str, text: str, level: int) -> DataFrame:
+    """Heading blocks, each with the lesson that the last heading of ``level`` with one names, ``preamble`` before any, and
+    ``own``, the lesson that the block itself names."""
+    blocks = heading_blocks(df, key, text).withColumnRenamed(key, "doc")
+    own = F.when(F.col("level") == level, lesson_id(F.col("heading")))
+    upto = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.withColumn("own", own).withColumn("lesson", F.coalesce(F.last("own", ignorenulls=True).over(upto), F.lit("preamble"))).withColumn("text", clean_body(strip_tags(F.col("body"))))
+
+
+def textbook_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """A textbook's poems, below third-level headings that name a lesson, and its literary notes, below fourth-level
+    headings of that name. Other blocks are left out."""
+    b = _lessons(df, key, text, 3)
+    section = F.when((F.col("level") == 3) & F.col("own").isNotNull(), "poem").when((F.col("level") == 4) & F.col("heading").startswith("دانش ادبی"), "literary-notes")
+    return _numbered(b.withColumn("section", section).filter("section is not null"), "textbook", "block")
+
+
+def study_guide_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """A study guide's vocabularies and verse explanations, by the title of third-level headings; second-level ones name the
+    lesson. Each verse entry is a chunk of its own."""
+    b = _lessons(df, key, text, 2).filter("level = 3")
+    words = b.filter(F.col("heading").startswith("معنی لغت")).select("doc", "block", "lesson", F.lit(0).alias("entry"), F.lit("vocabulary").alias("section"), "text")
+    verses = b.filter(F.col("heading").startswith("معنی ابیات")).withColumn("_k", F.struct("doc", "block", "lesson"))
+    entries = verse_entries(verses, "_k", "body")
+    parts = F.concat_ws("\n", "verse", F.nullif(F.col("explanation"), F.lit("")))
+    entries = entries.select("_k.doc", "_k.block", "_k.lesson", "entry", F.lit("verse-explanation").alias("section"), strip(strip_tags(parts)).alias("text"))
+    return _numbered(words.unionByName(entries), "study-guide", "block", "entry")
+
+
+def gifted_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Every third-level block of an analysis, below the lesson that it or an earlier one names."""
+    return _numbered(_lessons(df, key, text, 3).filter("level = 3").withColumn("section", F.lit("deep-analysis")), "gifted", "block")
 
 
 def instructed_query(persona: Column, query: Column) -> Column:

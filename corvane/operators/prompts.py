@@ -64,9 +64,55 @@ def pairwise_prompt(query: Column, a: Column, b: Column) -> Column:
     return F.concat(F.lit("Question:\n"), query, F.lit("\n\nA:\n"), a, F.lit("\n\nB:\n"), b)
 
 
-def training_triple(profile: Column, query: Column, chosen: Column, rejected: Column) -> list[Column]:
-    """Prompt, chosen and rejected of a preference row."""
-    return [rewrite_prompt(profile, query).alias("prompt"), chosen.alias("chosen"), rejected.alias("rejected")]
+def training_triple(profile: Column, query: Column, chosen: Column, rejected: Column, system: str = "", template: str | None = None) -> list[Column]:
+    """Prompt, chosen and rejected of a preference row; with a ``template`` (the opening of a turn with {role}) the prompt is
+    rendered as a chat that the assistant is to go on with."""
+    prompt = rewrite_prompt(profile, query)
+    prompt = prompt if template is None else chat_text(messages(F.lit(system), prompt), template)
+    return [prompt.alias("prompt"), chosen.alias("chosen"), rejected.alias("rejected")]
+
+
+def batched_judge_prompt(query: Column, profile: Column, passages: Column) -> Column:
+    """One prompt for all passages of a query (an array of texts), numbered from 1, that asks for one score each; null
+    without passages."""
+    n = F.size(passages).cast("string")
+    listed = F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p)), "\n")
+    ask = F.concat(F.lit('Rate from 0.0 to 1.0 how useful each passage is to this reader. Reply with {"scores": [...]} and exactly '), n, F.lit(" numbers in the order of the passages."))
+    return F.when(F.size(passages) > 0, F.concat_ws("\n\n", F.concat(F.lit("Profile: "), profile), F.concat(F.lit("Question: "), query), listed, ask))
+
+
+def passage_prompt(query: Column, profile: Column, passage: Column, gold: Column | None = None, explanation: Column | None = None) -> Column:
+    """The prompt that rates one passage for a reader. Gold answer and explanation are shown to the judge where they are
+    given, each under its own title."""
+    titled = lambda title, c: F.when(c.isNotNull(), F.concat(F.lit(title + ":\n"), c))
+    reference = [titled(t, c) for t, c in (("Gold answer", gold), ("Gold explanation", explanation)) if c is not None]
+    ask = F.lit("Rate from 0.0 to 1.0 how useful this passage is to this reader. Reply with one decimal number only.")
+    return F.concat_ws("\n\n", F.concat(F.lit("Profile: "), profile), F.concat(F.lit("Question: "), query), *reference, titled("Passage", passage), ask)
+
+
+def ten_point_prompt(query: Column, profile: Column, passage: Column) -> Column:
+    """The older prompt that asks for a whole number from 1 to 10."""
+    return F.concat_ws("\n\n", F.concat(F.lit("Profile: "), profile), F.concat(F.lit("Question: "), query), F.concat(F.lit("Passage:\n"), passage), F.lit("Rate from 1 to 10 how useful this passage is. Reply with one whole number only."))
+
+
+def persona_prefix(profile: Column, query: Column) -> Column:
+    """The older form of a query for a reader: the profile's prose, a blank line, the query; alone without a profile."""
+    return F.when(F.coalesce(profile, F.lit("")) == "", query).otherwise(F.concat(profile, F.lit("\n\n"), query))
+
+
+def messages(system: Column, user: Column) -> Column:
+    """A chat turn as an array of (role, content)."""
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return F.array(turn("system", system), turn("user", user))
+
+
+def chat_text(turns: Column, opening: str = "<|{role}|>\n", closing: str = "\n", generate: bool = True) -> Column:
+    """Turns in a chat template: ``opening`` and ``closing`` stand around each content, and with ``generate`` the opening
+    of the assistant's turn at the end."""
+    before, _, after = opening.partition("{role}")
+    each = F.transform(turns, lambda t: F.concat(F.lit(before), t["role"], F.lit(after), t["content"], F.lit(closing)))
+    text = F.array_join(each, "")
+    return F.concat(text, F.lit(opening.format(role="assistant"))) if generate else text
 
 
 def rubric_block(criteria: list[Criterion]) -> str:

@@ -94,11 +94,11 @@ REPORTS = {
 
 def report(df: DataFrame, name: str, path: str, rename: dict[str, str] | None = None) -> None:
     """One of the ``REPORTS`` with exactly its columns in their order; ``rename`` maps columns of ``df`` to them. A column
-    that is missing is an error."""
+    that is missing is an error. A report has a row a cell of an evaluation, so it is written as one file."""
     df = df.withColumnsRenamed(rename or {})
     if missing := [c for c in REPORTS[name] if c not in df.columns]:
         raise ValueError(f"{name} lacks {', '.join(missing)}")
-    csv_report(df, path, list(REPORTS[name]))
+    csv_report(df.coalesce(1), path, list(REPORTS[name]))
 
 
 def candidate_dumps(filtered: DataFrame, every: str, survivors: str) -> None:
