@@ -243,7 +243,21 @@ _PER = ", ".join(f"round({c}, 6) as {c}" for i in range(1, 6) for c in (f"ndcg{i
 _CONTENT = "list_distinct(regexp_extract_all(coalesce({}, ''), '[\\x{{600}}-\\x{{6FF}}\\x{{200c}}]{{3,}}'))"
 _SRC, _GOT = _CONTENT.format("query"), _CONTENT.format("chosen")
 
+_HEADINGS = f"""
+with t as (select doc_id, string_split(text, chr(10)) as ls from documents), l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from t),
+ m as (select *, regexp_matches(line, '^#{{1,4}}[ \\t]+\\S') as h, sum(case when regexp_matches(line, '^#{{1,4}}[ \\t]+\\S') then 1 else 0 end) over (partition by doc_id order by i) as g from l),
+ hb as (select doc_id, cast(g - 1 as integer) as block, max(case when h then length(regexp_extract(line, '^#+')) end) as level, max(case when h then regexp_replace(regexp_replace(line, '^#+', ''), '^[{_B}]+|[{_B}]+$', '', 'g') end) as heading,
+   regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) order by i) filter (where not h), ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[{_B}]+|[{_B}]+$', '', 'g') as body from m where g > 0 group by doc_id, g)
+"""
+_WORD = "regexp_replace(regexp_extract(heading, 'درس\\s+(\\S+)', 1), '[:،]+$', '')"
+_ORDINALS = "['یکم', 'اول', 'دوم', 'سوم', 'چهارم', 'پنجم', 'ششم', 'هفتم', 'هشتم', 'نهم', 'دهم', 'یازدهم', 'دوازدهم', 'سیزدهم', 'چهاردهم', 'پانزدهم', 'شانزدهم', 'هفدهم']"
+
 ORACLE = {
+    "heading_blocks": _HEADINGS + "select doc_id, block, level, heading, body from hb",
+    "lesson_chunks": _HEADINGS
+    + f""", n as (select *, coalesce(try_cast(translate(regexp_extract(heading, 'درس\\s+([۰-۹]+)', 1), '۰۱۲۳۴۵۶۷۸۹', '0123456789') as integer), case when list_position({_ORDINALS}, {_WORD}) > 0 then greatest(1, list_position({_ORDINALS}, {_WORD}) - 1) end) as no from hb),
+ c as (select *, coalesce(last_value(case when no is not null then printf('lesson-%02d', no) end ignore nulls) over (partition by doc_id order by block rows unbounded preceding), 'preamble') as lesson from n)
+ select doc_id, block, lesson, printf('d%d:%s:h%d:%03d', doc_id, lesson, level, row_number() over (partition by doc_id, lesson, level order by block)) as chunk_id from c""",
     "chunk_windows": _WINDOWS + "select doc_id, cast(row_number() over (partition by doc_id order by s) - 1 as integer) as idx, chunk from w where chunk != ''",
     "chunk_stats": _WINDOWS + "select count(*) as chunks, cast(min(length(chunk) * 0.5) as double) as least, cast(max(length(chunk) * 0.5) as double) as most, round(cast(avg(length(chunk) * 0.5) as double), 6) as mean from w where chunk != ''",
     "index_terms": _TERMS + "select term, count(*) as df, cast(sum(tf) as bigint) as ctf from tf group by 1",
