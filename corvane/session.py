@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own settings."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("corvane")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -23,6 +25,17 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors of a session that has it on the driver only, as a zip file that Spark serves.
+    Clusters where it is installed on every machine don't need it."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="corvane-ship-")  # read by the driver alone
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "corvane"), "zip", os.path.dirname(here), os.path.basename(here)))
+    atexit.register(shutil.rmtree, folder, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
