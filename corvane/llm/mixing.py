@@ -9,6 +9,9 @@ from ..session import materialize
 from .splits import DASHES, HIDDEN
 from .tokens import VOCABULARY, with_tokens
 
+#: Random offsets that are tried for each source.
+OFFSETS = 32
+
 
 def source_name(value: Column) -> Column:
     """One spelling per source: case, blanks, invisible characters and kind of dash or underscore made alike. A blank
@@ -46,10 +49,12 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, targets: DataFr
     """The mixture (``key``, ``source``, ``tokens``, ``copies``: how often the row is used, 0 rows left out) and its report
     (source, tokens, target_share, max_repeats, capped, mixed_tokens, actual_share).
 
-    A source's documents have equal expected copies, its repeats. Their running sum in order of a hash, plus one random
-    offset a source, crosses a whole number once for each copy. The sum is taken in two levels, over hash blocks and inside
-    a block of about ``block_rows`` rows of all sources, so that a source of any size is spread over many tasks. Copies are the floor or the ceiling of the
-    repeats, never more than max_repeats. Rows without a source, of a source without a target, or without text are not
+    A source's documents have equal expected copies, its repeats. Their running sum, plus one random offset a source,
+    crosses a whole number once for each copy. Documents stand in order of size class, then of a hash, and of ``OFFSETS``
+    random offsets the one is taken whose sample comes nearest to the source's goal in tokens, as a few long documents can
+    be most of a source. The sum is taken in two levels, over blocks of a class and inside a block of about ``block_rows``
+    rows of all sources, so that a source of any size is spread over many tasks. Copies are the floor or the ceiling of
+    the repeats, never more than max_repeats. Rows without a source, of a source without a target, or without text are not
     used; the total counts every row that has a source. A repeated key counts as often as it is there. Sources are
     compared without case, blanks and kind of dash.
 
@@ -62,19 +67,23 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str, targets: DataFr
     t = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source is not null")
     t = t.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     plan = materialize(allotments(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), t))
-    blocks = max(64, -(-rows.count() // block_rows))
-    used = rows.filter("tokens > 0").withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+    blocks = max(1, -(-rows.count() // block_rows))
+    # documents of one source stand in order of size, the largest first, so that a sample has its share of every size
+    used = rows.filter("tokens > 0").withColumn("class", -F.floor(4 * F.log2(F.col("tokens").cast("double")))).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
     # every document of a source expects the same copies, so a running sum is a running count
-    counts = used.groupBy("source", "block").agg(F.count("*").alias("n"))
-    first = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source", "block", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "block").orderBy("h", "k")
-    used = used.withColumn("i", F.row_number().over(inside)).join(counts, ["source", "block"])
+    counts = used.groupBy("source", "class", "block").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("source").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("source", "class", "block", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "class", "block").orderBy("h", "k")
+    used = used.withColumn("i", F.row_number().over(inside)).join(counts, ["source", "class", "block"])
     used = used.join(plan.select(F.col("name").alias("source"), "repeats"), "source")
-    offset = F.pmod(F.xxhash64(F.lit(seed + 1), "source"), F.lit(1 << 30)) / float(1 << 30)
-    upto = lambda n: F.floor(offset + n * F.col("repeats") + 1e-9)
-    at = F.col("before") + F.col("i")
-    mixed = used.withColumn("copies", (upto(at) - upto(at - 1)).cast("int")).filter("copies > 0").select("k", "source", "tokens", "copies")
+    used = materialize(used.select("k", "source", "tokens", "repeats", (F.col("before") + F.col("i")).alias("at")))
+    drawn = [F.pmod(F.xxhash64(F.lit(seed + 1), "source", F.lit(j)), F.lit(1 << 30)) / float(1 << 30) for j in range(OFFSETS)]
+    copies = lambda offset: (F.floor(offset + F.col("at") * F.col("repeats") + 1e-9) - F.floor(offset + (F.col("at") - 1) * F.col("repeats") + 1e-9)).cast("int")
+    sums = used.groupBy("source").agg(*(F.sum(F.col("tokens") * copies(o)).alias(f"s{j}") for j, o in enumerate(drawn)), F.sum(F.col("tokens") * F.col("repeats")).alias("goal"))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"s{j}") - F.col("goal")).alias("d"), o.alias("offset")) for j, o in enumerate(drawn))))
+    offsets = sums.select("source", best["offset"].alias("offset"))
+    mixed = used.join(offsets, "source").withColumn("copies", copies(F.col("offset"))).filter("copies > 0").select("k", "source", "tokens", "copies")
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("m"))
     report = plan.join(got.select(F.col("source").alias("name"), "m"), "name", "left").withColumn("mixed_tokens", F.coalesce("m", F.lit(0)))
     used_up = F.col("mixed_tokens") >= F.col("max_repeats") * F.col("tokens")

@@ -105,8 +105,9 @@ def test_mixture_keeps_its_caps(spark, rows):
     assert sum(used.values()) == sum(r.mixed_tokens for r in rows("p9_shares")) and abs(sum(r.actual_share for r in rows("p9_shares")) - 1) < 1e-9
     assert {r.source for r in rows("p9_found")} == {r.source for r in rows("p9_shares") if r.capped}
     free = [r for r in rows("p9_shares") if not r.capped and r.mixed_tokens < r.max_repeats * r.tokens]
-    rate = [r.actual_share / r.target_share for r in free if r.tokens > 20_000]
-    assert max(rate) / min(rate) < 1.25  # what capped sources lack goes to the others in proportion
+    # what capped sources lack goes to the others in proportion; one source is mostly a few documents longer than its goal
+    rate = sorted(r.actual_share / r.target_share for r in free)
+    assert len(rate) > 10 and rate[-1] / rate[1] < 1.03 and rate[0] < rate[1]
 
 
 def test_languages_have_confidences(rows):
