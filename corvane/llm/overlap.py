@@ -15,6 +15,7 @@ shared spans. Merged, they are a record's coverage."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -182,17 +183,40 @@ def _suffix_pairs(share: float):
     return pairs
 
 
+class _Hashes(dict):
+    """64 bits of each word, remembered for at most ``room`` words."""
+
+    room = 500_000
+
+    def __missing__(self, word: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+        if self.room > 0:
+            self.room -= 1
+            self[word] = h
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def _id(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def text_classes(records: DataFrame, text: str) -> DataFrame:
-    """``records`` with ``seq``, the words as written, ``words``, the distinct ones, and the ids of both: ``cls`` of the
-    word set and ``sid`` of the sequence. Texts without words have null ids."""
+    """``records`` with ``seq``, the words as written, ``words``, the distinct ones as 64-bit numbers, and 128-bit ids of both:
+    ``cls`` of the word set and ``sid`` of the sequence. Texts without words have null ids."""
 
-    @F.pandas_udf("array<string>")
-    def read(texts: pd.Series) -> pd.Series:
-        return pd.Series([written_words(t) for t in texts], index=texts.index, dtype=object)
+    @F.pandas_udf("seq array<string>, words array<long>, cls binary, sid binary")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            seq = written_words(t)
+            different = sorted(set(seq))
+            rows.append((seq, [_HASHES[w] for w in different], _id(different) if seq else None, _id(seq) if seq else None))
+        return pd.DataFrame(rows, columns=["seq", "words", "cls", "sid"], index=texts.index, dtype=object)
 
-    w = records.withColumn("seq", read(F.col(text))).withColumn("words", F.array_sort(F.array_distinct("seq")))
-    mark = lambda c: F.when(F.size("seq") > 0, F.md5(F.array_join(c, " ")))
-    return w.withColumn("cls", mark("words")).withColumn("sid", mark("seq"))
+    return records.withColumn("_r", read(F.col(text))).select(*records.columns, "_r.*")
 
 
 def similar_classes(records: DataFrame, share: float = 0.75) -> DataFrame:
@@ -207,7 +231,7 @@ def similar_classes(records: DataFrame, share: float = 0.75) -> DataFrame:
     classes = materialize(classes)
     spread = classes.select("cls", F.explode("words").alias("w"))
     often = spread.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = spread.join(often, "w").select("cls", F.struct("df", F.xxhash64("w").alias("h"), F.hash("w").alias("w")).alias("r"))
+    ranked = spread.join(often, "w").select("cls", F.struct("df", "w").alias("r"))
     order = materialize(ranked.groupBy("cls").agg(F.array_sort(F.collect_list("r")).alias("s")))  # at most the words of one text
     n = F.size("s")
     seq = order.select("cls", F.transform("s", lambda x: F.pmod(x.w, F.lit(2**31 - 1))).alias("s"), n.alias("n"))
@@ -231,7 +255,7 @@ def similar_classes(records: DataFrame, share: float = 0.75) -> DataFrame:
     # small beginnings share a cell; a run of equal beginnings stays in one
     shared = max(16, suffix.count() // (2 * CELL))
     cells = cells.withColumn("cell", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod("key", F.lit(shared))).otherwise(F.xxhash64("key", "i", "j")))
-    found = cells.select("cell", "cls", "n", "bits", "train", "evals", "start").groupBy("cell").applyInPandas(_suffix_pairs(share), "a string, b string")
+    found = cells.select("cell", "cls", "n", "bits", "train", "evals", "start").groupBy("cell").applyInPandas(_suffix_pairs(share), "a binary, b binary")
     pairs = found.distinct()
     x, y = (classes.select(F.col("cls").alias(c), F.col("words").alias(f"w{c}")) for c in "ab")
     exact = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("wa", "wb")))
@@ -265,7 +289,7 @@ def text_spans(rows: DataFrame, alike: DataFrame) -> DataFrame:
                 found = shared_spans([(x.tolist(), y.tolist()) for x, y in zip(p.qa, p.qb)])
                 yield pd.DataFrame({"sa": p.sa, "sb": p.sb, "words": p.qb.str.len(), "spans": pd.Series([[{"f": f, "t": t} for f, t in s] for s in found], index=p.index, dtype=object)})
 
-    return pairs.mapInPandas(spans, "sa string, sb string, words int, spans array<struct<f: int, t: int>>")
+    return pairs.mapInPandas(spans, "sa binary, sb binary, words int, spans array<struct<f: int, t: int>>")
 
 
 def _covered(spans: Column) -> Column:
