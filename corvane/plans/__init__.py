@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "evaluation", "panels", "preferences", "nested")
+MODULES = ("retrieval", "evaluation", "panels", "preferences", "nested", "relational")
 
 
 def registered() -> tuple[dict, dict]:
