@@ -96,15 +96,17 @@ def results_of_one_config(records: DataFrame, digest: str = "config_sha256", sta
     return records
 
 
-def scored_groups(rows: DataFrame, most: int) -> DataFrame:
+def scored_groups(rows: DataFrame, most: int, unknown: str = "skip") -> DataFrame:
     """Scored documents in long form from both formats: one document a line, or a list ``docs``. Rows of neither are left
-    out. Columns query, persona_id, chunk_id, document, score; groups keep their ``most`` best documents, groups of fewer
+    out, or with ``unknown`` = error end the job. Columns query, persona_id, chunk_id, document, score; groups keep their ``most`` best documents, groups of fewer
     than two are left out."""
     from pyspark.sql import Window
 
     new = F.col("docs").isNotNull()
     one = F.array(F.struct(F.lit(None).cast("string").alias("chunk_id"), F.col("document").alias("text"), F.col("score").alias("teacher_score")))
     docs = F.when(new, F.col("docs")).when(F.col("document").isNotNull() & F.col("score").isNotNull(), one)
+    if unknown == "error":
+        docs = F.coalesce(docs, F.raise_error(F.lit("row of neither format")).cast("array<struct<chunk_id: string, text: string, teacher_score: double>>"))
     flat = rows.select("query", "persona_id", F.explode(docs).alias("d")).select("query", "persona_id", "d.chunk_id", F.col("d.text").alias("document"), F.col("d.teacher_score").alias("score"))
     best = flat.groupBy("query", "persona_id", "document").agg(F.max("score").alias("score"), F.max("chunk_id").alias("chunk_id"))
     w = Window.partitionBy("query", "persona_id")
