@@ -46,7 +46,9 @@ ACCENTED, PLAIN = _unaccented()
 
 def index_terms(text: Column) -> Column:
     """Lower-case runs of letters and digits, Latin ones without diacritics; marks of other scripts part them."""
-    bare = F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[\x{300}-\x{331}]", "")
+    low = F.lower(text)
+    bare = F.regexp_replace(F.translate(low, ACCENTED, PLAIN), r"[\x{300}-\x{331}]", "")
+    bare = F.when(low.rlike(r"[\x{c0}-\x{24f}\x{300}-\x{331}\x{1e00}-\x{1eff}]"), bare).otherwise(low)  # few texts need it
     return F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
@@ -55,9 +57,15 @@ def fold_digits(text: Column) -> Column:
     return F.translate(text, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 
 
+def persian_letters(text: Column) -> Column:
+    """Arabic yeh and kaf become the Persian letters, digits ASCII."""
+    letters = F.replace(F.replace(text, F.lit("ي"), F.lit("ی")), F.lit("ك"), F.lit("ک"))
+    return F.when(letters.rlike("[٠-٩۰-۹]"), fold_digits(letters)).otherwise(letters)
+
+
 def persian(text: Column) -> Column:
-    """Arabic yeh and kaf become the Persian letters, digits ASCII, white space single spaces; half-spaces stay."""
-    return squeeze(fold_digits(F.translate(text, "يك", "یک")))
+    """``persian_letters`` with white space as single spaces; half-spaces stay."""
+    return squeeze(persian_letters(text))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -26,12 +26,29 @@ def chunk_windows(df: DataFrame, key: str, text: str, size: int = 800, overlap:
     return df.filter(F.length(t) > 0).select(key, F.posexplode(cut).alias("idx", "chunk"))
 
 
+def _placed_terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Every term of every text in its normalised form: ``key``, ``len``, ``place`` (from 0 on), ``term``."""
+    terms = df.select(key, tx.index_terms(tx.persian_letters(F.col(text))).alias("ts"))
+    return terms.select(key, F.size("ts").alias("len"), F.posexplode("ts").alias("place", "term"))
+
+
+def _grouped(flat: DataFrame, key: str) -> DataFrame:
+    return flat.groupBy("term", key, "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))  # at most one text's terms
+
+
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """Inverted index: ``term``, ``key``, ``tf``, ``places`` (ascending, from 0 on) and ``len``, the number of terms of the
     text. Texts are read in their normalised form."""
-    terms = df.select(key, tx.index_terms(tx.persian(F.col(text))).alias("ts"))
-    flat = terms.select(key, F.size("ts").alias("len"), F.posexplode("ts").alias("place", "term"))
-    return flat.groupBy("term", key, "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))  # at most one text's terms
+    return _grouped(_placed_terms(df, key, text), key)
+
+
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``term``, ``df``, the texts that hold it, and ``ctf``, how often it occurs in all of them. ``key`` is unique, so a
+    text's own counts need no shuffle: each distinct term of a text counts once."""
+    terms = df.select(tx.index_terms(tx.persian_letters(F.col(text))).alias("ts"))
+    once = terms.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    every = terms.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count("*").alias("ctf"))
+    return once.join(every, "term")
 
 
 def bm25(n_docs: Column, df: Column, tf: Column, length: Column, mean_length: Column, k1: float = 1.2, b: float = 0.75) -> Column:
@@ -53,20 +70,25 @@ def bucket(term: Column, buckets: int) -> Column:
 
 
 def phrases(queries: DataFrame, query: str, text: str) -> DataFrame:
-    """The terms that a search asks for: ``query``, ``phrase`` (a word between blanks as its terms, more than one where the
-    index parts it) and ``qf``, how often it occurs."""
-    asked = queries.select(query, F.explode(tx.words(tx.persian(F.col(text)))).alias("w")).select(query, tx.index_terms(F.col("w")).alias("phrase"))
-    return asked.filter(F.size("phrase") > 0).groupBy(query, "phrase").agg(F.count("*").alias("qf"))
+    """The terms that a search asks for: ``query``, ``phrase`` (a word between blanks as its terms with a blank between
+    them, more than one where the index parts it) and ``qf``, how often it occurs."""
+    asked = queries.select(query, F.explode(tx.words(tx.persian(F.col(text)))).alias("w"))
+    asked = asked.groupBy(query, "w").agg(F.count("*").alias("n")).select(query, F.array_join(tx.index_terms(F.col("w")), " ").alias("phrase"), "n")
+    return asked.filter("phrase != ''").groupBy(query, "phrase").agg(F.sum("n").alias("qf"))
+
+
+def _terms_of(phrases: DataFrame) -> DataFrame:
+    """``phrase``, ``terms`` (how many), ``at`` and ``term``."""
+    return phrases.select("phrase").distinct().select("phrase", F.split("phrase", " ").alias("l")).select("phrase", F.size("l").alias("terms"), F.posexplode("l").alias("at", "term"))
 
 
 def phrase_hits(asked: DataFrame, index: LexicalIndex, doc: str) -> DataFrame:
     """Where each distinct phrase occurs: ``phrase``, ``doc``, ``tf`` and ``len``. Terms are looked up by bucket and term, so
     only the buckets of terms that are asked for are read, and only their postings travel."""
-    terms = asked.select("phrase").distinct().select("phrase", F.posexplode("phrase").alias("at", "term")).withColumn("bucket", bucket(F.col("term"), index.buckets))
-    found = terms.join(index.postings, ["bucket", "term"])
-    single = found.filter(F.size("phrase") == 1).select("phrase", doc, "tf", "len")
-    starts = found.filter(F.size("phrase") > 1).select("phrase", doc, "len", "at", F.explode("places").alias("place")).groupBy("phrase", doc, "len", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
-    several = starts.filter(F.col("n") == F.size("phrase")).groupBy("phrase", doc, "len").agg(F.count("*").alias("tf"))
+    found = _terms_of(asked).withColumn("bucket", bucket(F.col("term"), index.buckets)).join(index.postings, ["bucket", "term"])
+    single = found.filter("terms = 1").select("phrase", doc, "tf", "len")
+    starts = found.filter("terms > 1").select("phrase", "terms", doc, "len", "at", F.explode("places").alias("place")).groupBy("phrase", "terms", doc, "len", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
+    several = starts.filter("n = terms").groupBy("phrase", doc, "len").agg(F.count("*").alias("tf"))
     return single.unionByName(several.select("phrase", doc, "tf", "len"))
 
 
@@ -75,7 +97,9 @@ def search(queries: DataFrame, query: str, query_text: str, index: LexicalIndex,
     index holds as several terms must occur as a phrase; a word counts as often as it occurs; ties go to the smaller
     document; a query without terms finds nothing."""
     asked = phrases(queries, query, query_text)
-    hits = phrase_hits(asked, index, doc)
+    spark = queries.sparkSession
+    # hits of frequent phrases multiply with the queries that ask for them: their partitions aren't to be joined by size
+    hits = materialize(phrase_hits(asked, index, doc).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "phrase", doc))
     of_phrase = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     whole = index.lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
     j = asked.join(of_phrase, "phrase").join(hits, "phrase").crossJoin(whole)  # one row of totals
@@ -86,9 +110,13 @@ def search(queries: DataFrame, query: str, query_text: str, index: LexicalIndex,
 
 
 def lexical_top_k(queries: DataFrame, query: str, query_text: str, docs: DataFrame, doc: str, doc_text: str, k: int) -> DataFrame:
-    """``search`` in an index of ``docs`` that is built once for it; to search more than once, store the index."""
-    p = materialize(postings(docs, doc, doc_text).withColumn("bucket", F.lit(0)))
-    return search(queries, query, query_text, LexicalIndex(p, p.select(doc, "len").distinct(), 1), doc, k)
+    """``search`` over documents that have no stored index: postings are made of the terms that are asked for only. To
+    search more than once, store the index."""
+    asked = _terms_of(phrases(queries, query, query_text)).select("term").distinct()
+    flat = _placed_terms(docs, doc, doc_text)
+    lengths = docs.select(doc, F.size(tx.index_terms(tx.persian_letters(F.col(doc_text)))).alias("len")).filter("len > 0")
+    found = _grouped(flat.join(asked, "term", "left_semi"), doc).withColumn("bucket", F.lit(0))
+    return search(queries, query, query_text, LexicalIndex(found, lengths, 1), doc, k)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -34,8 +34,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 def index_terms(spark: SparkSession, d: str) -> DataFrame:
     """Document and corpus frequency of every term of the postings index."""
-    p = retrieval.postings(_corpus(spark, d), "chunk_id", "text")
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+    return retrieval.term_counts(_corpus(spark, d), "chunk_id", "text")
 
 
 def bm25_top5(spark: SparkSession, d: str) -> DataFrame:
