@@ -87,9 +87,27 @@ def phrase_hits(asked: DataFrame, index: LexicalIndex, doc: str) -> DataFrame:
     only the buckets of terms that are asked for are read, and only their postings travel."""
     found = _terms_of(asked).withColumn("bucket", bucket(F.col("term"), index.buckets)).join(index.postings, ["bucket", "term"])
     single = found.filter("terms = 1").select("phrase", doc, "tf", "len")
-    starts = found.filter("terms > 1").select("phrase", "terms", doc, "len", "at", F.explode("places").alias("place")).groupBy("phrase", "terms", doc, "len", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
-    several = starts.filter("n = terms").groupBy("phrase", doc, "len").agg(F.count("*").alias("tf"))
-    return single.unionByName(several.select("phrase", doc, "tf", "len"))
+    starts = found.filter("terms > 1").select("phrase", "terms", doc, "len", "at", F.explode("places").alias("place"))
+    return single.unionByName(_phrases_at(starts.withColumn("start", F.col("place") - F.col("at")), doc))
+
+
+def _phrases_at(starts: DataFrame, doc: str) -> DataFrame:
+    """Phrases of several terms from where each of their terms would have them begin (phrase, terms, doc, len, start)."""
+    n = starts.groupBy("phrase", "terms", doc, "len", "start").agg(F.count("*").alias("n"))
+    return n.filter("n = terms").groupBy("phrase", doc, "len").agg(F.count("*").alias("tf")).select("phrase", doc, "tf", "len")
+
+
+def _ranked(asked: DataFrame, hits: DataFrame, lengths: DataFrame, query: str, doc: str, k: int) -> DataFrame:
+    spark = asked.sparkSession
+    # hits of frequent phrases multiply with the queries that ask for them: their partitions aren't to be joined by size
+    hits = materialize(hits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "phrase", doc))
+    of_phrase = hits.groupBy("phrase").agg(F.count("*").alias("df"))
+    whole = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
+    weighed = hits.join(of_phrase, "phrase").crossJoin(whole)  # one row of totals
+    weighed = weighed.select("phrase", doc, bm25(F.col("docs"), F.col("df"), F.col("tf"), F.col("len"), F.col("mean")).alias("w"))
+    scored = asked.join(weighed, "phrase").groupBy(query, doc).agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score"))
+    best = Window.partitionBy(query).orderBy(F.desc("score"), doc)
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(query, doc, "score", "rank")
 
 
 def search(queries: DataFrame, query: str, query_text: str, index: LexicalIndex, doc: str, k: int) -> DataFrame:
@@ -97,26 +115,18 @@ def search(queries: DataFrame, query: str, query_text: str, index: LexicalIndex,
     index holds as several terms must occur as a phrase; a word counts as often as it occurs; ties go to the smaller
     document; a query without terms finds nothing."""
     asked = phrases(queries, query, query_text)
-    spark = queries.sparkSession
-    # hits of frequent phrases multiply with the queries that ask for them: their partitions aren't to be joined by size
-    hits = materialize(phrase_hits(asked, index, doc).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "phrase", doc))
-    of_phrase = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    whole = index.lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    j = asked.join(of_phrase, "phrase").join(hits, "phrase").crossJoin(whole)  # one row of totals
-    scored = j.groupBy(query, doc).agg(F.sum(F.col("qf") * bm25(F.col("docs"), F.col("df"), F.col("tf"), F.col("len"), F.col("mean"))).alias("s"))
-    scored = scored.withColumn("score", F.round("s", 6))
-    best = Window.partitionBy(query).orderBy(F.desc("score"), doc)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(query, doc, "score", "rank")
+    return _ranked(asked, phrase_hits(asked, index, doc), index.lengths, query, doc, k)
 
 
 def lexical_top_k(queries: DataFrame, query: str, query_text: str, docs: DataFrame, doc: str, doc_text: str, k: int) -> DataFrame:
-    """``search`` over documents that have no stored index: postings are made of the terms that are asked for only. To
+    """``search`` over documents that have no stored index: their terms meet those that are asked for without one. To
     search more than once, store the index."""
-    asked = _terms_of(phrases(queries, query, query_text)).select("term").distinct()
-    flat = _placed_terms(docs, doc, doc_text)
+    asked = materialize(phrases(queries, query, query_text))
+    found = _placed_terms(docs, doc, doc_text).join(_terms_of(asked), "term")
+    single = found.filter("terms = 1").groupBy("phrase", doc, "len").agg(F.count("*").alias("tf")).select("phrase", doc, "tf", "len")
+    several = _phrases_at(found.filter("terms > 1").select("phrase", "terms", doc, "len", (F.col("place") - F.col("at")).alias("start")), doc)
     lengths = docs.select(doc, F.size(tx.index_terms(tx.persian_letters(F.col(doc_text)))).alias("len")).filter("len > 0")
-    found = _grouped(flat.join(asked, "term", "left_semi"), doc).withColumn("bucket", F.lit(0))
-    return search(queries, query, query_text, LexicalIndex(found, lengths, 1), doc, k)
+    return _ranked(asked, single.unionByName(several), lengths, query, doc, k)
 
 
 def dot(a: Column, b: Column) -> Column:
