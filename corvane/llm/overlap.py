@@ -22,8 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .lookalike import mapper, table_form
@@ -204,19 +206,23 @@ def _id(words: list[str]) -> bytes:
 
 
 def text_classes(records: DataFrame, text: str) -> DataFrame:
-    """``records`` with ``seq``, the words as written, ``words``, the distinct ones as 64-bit numbers, and 128-bit ids of both:
-    ``cls`` of the word set and ``sid`` of the sequence. Texts without words have null ids."""
-
-    @F.pandas_udf("seq array<string>, words array<long>, cls binary, sid binary")
-    def read(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            seq = written_words(t)
-            different = sorted(set(seq))
-            rows.append((seq, [_HASHES[w] for w in different], _id(different) if seq else None, _id(seq) if seq else None))
-        return pd.DataFrame(rows, columns=["seq", "words", "cls", "sid"], index=texts.index, dtype=object)
-
-    return records.withColumn("_r", read(F.col(text))).select(*records.columns, "_r.*")
+    """``records`` without their ``text``, but with ``seq``, the words as written, ``words``, the distinct ones as 64-bit
+    numbers, and 128-bit ids of both: ``cls`` of the word set and ``sid`` of the sequence. Texts without words have null
+    ids."""
+    kept = [f for f in records.schema if f.name != text]
+    schema = T.StructType([*kept, *(T.StructField(n, T.ArrayType(t)) for n, t in (("seq", T.StringType()), ("words", T.LongType()))), *(T.StructField(n, T.BinaryType()) for n in ("cls", "sid"))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = [written_words(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            different = [sorted(set(s)) for s in seqs]
+            lists = []
+            for rows, values in ((seqs, pa.array([w for s in seqs for w in s], pa.string())), (different, pa.array([_HASHES[w] for s in different for w in s], pa.int64()))):
+                lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), values))
+            ids = [pa.array([_id(s) if s else None for s in rows], pa.binary()) for rows in (different, seqs)]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), *lists, *ids], names=schema.names)
+
+    return records.mapInArrow(read, schema)
 
 
 def similar_classes(records: DataFrame, share: float = 0.75) -> DataFrame:
