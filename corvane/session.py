@@ -48,7 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
     named = "file://" + tempfile.mkdtemp(prefix="corvane-")
     spark.sparkContext.setCheckpointDir(named)

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,43 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_materialize(spark):
     df = session.materialize(spark.range(5))
     assert df.count() == 5 and "corvane" in df.inputFiles()[0]
+
+
+def test_intermediate_tables(spark):
+    """They are removed on request and at the end; a cluster without a shared folder is refused."""
+    t = session.materialize(spark.range(5))
+    path = session._PATHS[t].removeprefix("file://")
+    assert t.count() == 5 and os.path.isdir(path)
+    session.discard(t)
+    assert not os.path.exists(path)
+    session.discard(t)  # nothing is left to remove
+    kept = session.materialize(spark.range(3))
+    where = session._PATHS[kept].removeprefix("file://")
+    session.clear(spark)
+    assert not os.path.exists(where)
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return spark.sparkContext.getConf()
+
+    class NoFolder:
+        sparkContext = Context()
+        conf = spark.conf
+
+    class Held:
+        def isDefined(self):
+            return False
+
+    class Sc:
+        def getCheckpointDir(self):
+            return Held()
+
+    class Jsc:
+        def sc(self):
+            return Sc()
+
+    Context._jsc = Jsc()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(NoFolder())
