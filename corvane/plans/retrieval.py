@@ -24,7 +24,9 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", "text").distinct()
+    """Chunks without re-delivered rows. Texts multiply into terms, so the shuffle that tells repeated rows, by key alone,
+    keeps all its partitions instead of being joined by its size."""
+    return table(spark, d, "chunks").select("chunk_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id").distinct()
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
