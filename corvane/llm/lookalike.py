@@ -14,12 +14,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Characters with no visible effect.
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 # Blanks of the width of a space.
@@ -183,23 +186,61 @@ def _units(token: str) -> str | None:
     return "".join(out) + "".join(m for _, m in sorted(run, key=lambda m: m[0]))
 
 
+class _Node:
+    """A node of the trie: the spellings ``lo`` to ``hi`` of the sorted ones, which agree in their first ``depth`` units."""
+
+    __slots__ = ("trie", "lo", "hi", "depth")
+
+    def __init__(self, trie: VocabularyTrie, lo: int, hi: int, depth: int):
+        self.trie, self.lo, self.hi, self.depth = trie, lo, hi, depth
+
+    def edges(self) -> dict[str, tuple[int, int]]:
+        """The spellings behind each next unit; of the one that ends here, the smallest first, behind ''."""
+        key = (self.lo, self.hi, self.depth)
+        if (known := self.trie.kept.get(key)) is not None:
+            return known
+        units, at, out = self.trie.units, self.lo, {}
+        while at < self.hi:
+            c = units[at][self.depth : self.depth + 1]
+            end = bisect_right(units, c, at, self.hi, key=lambda u: u[self.depth : self.depth + 1])
+            out[c] = (at, end)
+            at = end
+        if self.depth < self.trie.SHALLOW and self.hi - self.lo > 1:
+            self.trie.kept[key] = out
+        return out
+
+    def child(self, u: str) -> _Node | None:
+        if self.hi - self.lo == 1:  # one spelling is left: no table of edges
+            units = self.trie.units[self.lo]
+            return _Node(self.trie, self.lo, self.hi, self.depth + 1) if units[self.depth : self.depth + 1] == u else None
+        found = self.edges().get(u)
+        return found and _Node(self.trie, *found, self.depth + 1)
+
+    def word(self) -> str | None:
+        """The spelling that ends here."""
+        return self.trie.words[self.lo] if len(self.trie.units[self.lo]) == self.depth else None
+
+
 class VocabularyTrie:
     """A trie of spellings in their visible units. ``search`` walks it with a weighted edit automaton over raw tokens.
 
     A state is a node, whether the letter before joins the next one, and what the next unit is bound to: whether it must
     join the letter before, and whether a hamza must come. Reading a look-alike follows its edge and reading an ignorable
-    or a half-space that doesn't show stays at the node, both at no cost; every visible edit costs one."""
+    or a half-space that doesn't show stays at the node, both at no cost; every visible edit costs one.
+
+    Nodes are ranges of the sorted spellings, so a spelling takes its own characters and not a table a character: tokens
+    of thousands of characters occur. Edges are kept for nodes of several spellings near the root, where most walks pass."""
+
+    SHALLOW = 12
 
     def __init__(self, spellings: list[str]):
-        self.root: dict = {}
-        for word in spellings:
-            node = self.root
-            for c in unicodedata.normalize("NFD", word):
-                node = node.setdefault(c, {})
-            node.setdefault("", word)
+        pairs = sorted(((unicodedata.normalize("NFD", w), i, w) for i, w in enumerate(spellings)), key=lambda p: p[:2])
+        self.units, self.words = [u if u != w else w for u, _, w in pairs], [w for _, _, w in pairs]
+        self.kept: dict[tuple[int, int, int], dict[str, tuple[int, int]]] = {}
+        self.root = _Node(self, 0, len(pairs), 0)
 
     @staticmethod
-    def _follow(node: dict, u: str, joins: bool, join: bool | None, hamza: bool | None) -> list[tuple]:
+    def _follow(node: _Node, u: str, joins: bool, join: bool | None, hamza: bool | None) -> list[tuple]:
         """The states behind a unit at no cost."""
         if u == ZWNJ:
             if hamza is True:
@@ -207,21 +248,20 @@ class VocabularyTrie:
             if not joins:
                 return [(node, False, join, None)]
             out = [] if join is True else [(node, True, False, None)]  # unseen, as the next letter doesn't join
-            if join is not True and u in node:
-                out.append((node[u], False, True, None))
+            if join is not True and (after := node.child(u)):
+                out.append((after, False, True, None))
             return out
         if unicodedata.category(u) == "Mn":
-            if u not in node or (u == HAMZA and hamza is False):
-                return []
-            return [(node[u], joins, join, None if u == HAMZA else hamza)]
+            after = None if u == HAMZA and hamza is False else node.child(u)
+            return [(after, joins, join, None if u == HAMZA else hamza)] if after else []
         if hamza is True or (join is not None and join != (u in JOIN_BEFORE)):
             return []
-        return [(node[e], e in JOIN_NEXT, j, h) for e, j, h in LOOKS.get(u, ((u, None, None),)) if e in node]
+        return [(after, e in JOIN_NEXT, j, h) for e, j, h in LOOKS.get(u, ((u, None, None),)) if (after := node.child(e))]
 
     def search(self, token: str, limit: int = 0) -> tuple[str, int] | None:
         """The spelling of least cost, at most ``limit`` visible edits away, the smaller one of a tie; None if there is none."""
         units = _units(token)
-        if units is None:
+        if units is None or not self.words:
             return None
         best: tuple[int, str] | None = None
         todo = [(0, 0, self.root, False, None, None)]  # cost, units read, state
@@ -230,15 +270,17 @@ class VocabularyTrie:
             if best and cost > best[0]:
                 continue
             if i == len(units):
-                if "" in node and join is not True and hamza is not True and (best is None or (cost, node[""]) < best):
-                    best = (cost, node[""])
+                word = node.word()
+                if word is not None and join is not True and hamza is not True and (best is None or (cost, word) < best):
+                    best = (cost, word)
             else:
                 for state in self._follow(node, units[i], joins, join, hamza):
                     todo.append((cost, i + 1, *state))
             if cost < limit:  # a visible edit: another unit, one too many, one too few
                 steps = [(i + 1, node, joins, None, None)] if i < len(units) else []
-                for e, child in node.items():
+                for e, ends in node.edges().items():
                     if e:
+                        child = _Node(self, *ends, node.depth + 1)
                         after = joins if unicodedata.category(e) == "Mn" else e in JOIN_NEXT
                         steps += [(i + n, child, after, None, None) for n in ((1, 0) if i < len(units) else (0,))]
                 todo = [(cost + 1, *s) for s in steps] + todo  # states without edits first
@@ -255,6 +297,7 @@ class Canonical(dict):
     def __missing__(self, part: str) -> str:
         """``part`` holds no plain space, but may hold other blanks."""
         form = _TOKEN.sub(lambda m: self._token(m.group()), _blanks(part))
+        form = part if form == part else form  # most parts are their own form: one string for both
         if self.room > 0 and len(part) < 100:
             self.room -= 1
             self[part] = form
@@ -316,9 +359,9 @@ def same_look_pairs(df: DataFrame, key: str, text: str, spellings: list[str]) ->
     Null texts pair with nothing; re-delivered keys count once; exact copies of a text pair only with its other
     spellings. Spellings are grouped first, so copies don't meet each other."""
     rows = canonical_text(df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter("k is not null and t is not null").distinct(), "t", "f", spellings)
-    rows = rows.withColumn("g", F.sha2("f", 256))
-    several = rows.groupBy("g").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo != hi").select("g")
-    part = rows.join(several, "g", "left_semi").select("g", "k", F.sha2("t", 256).alias("h"))
+    rows = materialize(rows.select("k", F.sha2("f", 256).alias("g"), F.sha2("t", 256).alias("h")))  # each text walked once, and by one worker a task
+    several = rows.groupBy("g").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("g")
+    part = rows.join(several, "g", "left_semi").select("g", "k", "h")
     a, b = part.toDF("g", "key_a", "ha"), part.toDF("g", "key_b", "hb")
     return different_spellings(part).join(a, ["g", "ha"]).join(b, ["g", "hb"]).filter("key_a < key_b").select("key_a", "key_b").distinct()
 

@@ -133,3 +133,31 @@ def test_copies_do_not_meet(spark):
     df = spark.createDataFrame([(i, "كتاب") for i in range(400)] + [(400, "کتاب")], "k long, t string")
     got = lookalike.same_look_pairs(df, "k", "t", ["کتاب"]).collect()
     assert sorted((r.key_a, r.key_b) for r in got) == [(i, 400) for i in range(400)]
+
+
+def test_long_spellings_take_little_memory():
+    """Tokens of thousands of characters, alike in the beginning or not: the trie takes some bytes a character."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("ابپتجدرزسکگلمنوه") for _ in range(2000)) for _ in range(100)]
+    words += [words[0][:1000] + w for w in words[:20]]
+    tracemalloc.start()
+    try:
+        c = L.Canonical(words, table=lambda t: None)
+        assert all(c.trie.search(w.replace("ک", "ك") + "​") == (w, 0) for w in words if w[-1] != "ک")
+        assert c.trie.search(words[0][:-1]) is None and c.trie.search(words[0] + "ا") is None
+        assert tracemalloc.get_traced_memory()[1] < 10e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_are_walked_once(spark, monkeypatch):
+    """However the pairs are joined, the forms come from one pass over the texts."""
+    calls = []
+    real = L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df: calls.append(df.columns) or real(df))
+    df = spark.createDataFrame([("a", "كتاب"), ("b", "کتاب"), ("c", "ما")], "k string, t string")
+    pairs = L.same_look_pairs(df, "k", "t", ["کتاب"])
+    assert calls == [["k", "g", "h"]] and "ArrowEvalPython" not in pairs._jdf.queryExecution().toString()
+    assert [tuple(r) for r in pairs.collect()] == [("a", "b")]
