@@ -90,3 +90,35 @@ def test_reported_refusals_are_none(spark, text):
     rows, _ = table(300)
     df = spark.createDataFrame([*rows, (9999, rows[0][1], text, text)], "pair_id long, query string, chosen string, rejected string")
     assert {r.defect for r in defects.label_defects(df).filter("pair_id = 9999").collect()} == {None}
+
+
+def test_rates_and_cutoffs_come_from_all_rows(spark, monkeypatch):
+    """Each defect is planted into every answer, and every answer as it is counts for the cutoffs."""
+    rows, _ = table(450)
+    seen = {"rates": [], "planted": [], "plain": []}
+    measured, best_cutoff = defects.measured, defects.best_cutoff
+    size = lambda x: sum(x.values()) if isinstance(x, dict) else len(x)
+    monkeypatch.setattr(defects, "measured", lambda p, first: seen["rates"].append(size(p)) or measured(p, first))
+    monkeypatch.setattr(defects, "best_cutoff", lambda a, b: seen["planted"].append(size(a)) or seen["plain"].append(size(b)) or best_cutoff(a, b))
+    defects.label_defects(spark.createDataFrame(rows, "pair_id long, query string, chosen string, rejected string"))
+    both = dict(zip(defects.DEFECTS, map(sum, zip(seen["rates"], seen["planted"]))))
+    long = sum(len((a or "").split()) >= 8 for r in rows for a in r[2:])
+    assert both == dict.fromkeys(defects.DEFECTS, 900) | {"truncated": long}
+    assert seen["plain"] == [900] * 5
+
+
+def test_planted_rows_are_voted_on_like_others():
+    rows, _ = table(60)
+    tagger = defects.Tagger(defects.LANGUAGE_MODEL)
+    query, answer, seeds = [r[1] for r in rows] + [None, ""], [r[2] for r in rows] + [None, "نه"], list(range(-30, 32))
+    counted, cut = defects.planted_votes(query, answer, seeds, tagger, tagger.segments(query)[1])
+    want, ends = {}, []
+    for q, a, seed in zip(query, answer, seeds):
+        for d, _, text in defects.plant([(q, a)], random.Random(seed)):
+            read = defects.read_tokens(text or "")
+            said = {k: v[0] for k, v in defects.votes([q], [text], tagger, [read], tagger.segments([q])[1]).items()}
+            if d == "truncated":
+                ends.append((f"{d}/{seed & 1}", *defects.last_two(read), said[d], said["ends"]))
+            elif d:
+                want[f"{d}/{seed & 1}", said[d]] = want.get((f"{d}/{seed & 1}", said[d]), 0) + 1
+    assert counted == want and cut == ends
