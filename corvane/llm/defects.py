@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -285,6 +286,13 @@ def last_two(tokens: list[tuple]) -> tuple[str, str]:
     return (*islice((t[2] for t in reversed(tokens) if t[2]), 2), "", "")[:2]
 
 
+@cache
+def _fixed_votes(d: str, text: str | None) -> str:
+    """The votes about being empty or a refusal on one of BLANKS or REFUSALS, which know no query."""
+    f = fold(text or "")
+    return _empty_votes(f) if d == "empty" else _refusal_votes(text, f)
+
+
 def planted_votes(query: list, answer: list, seeds: list[int], tagger: Tagger, q_main: list) -> tuple[Counter, list[tuple]]:
     """Votes on the defects that are planted into each row, each about its own defect only: how often each (plant, pattern)
     occurs, and (plant, last, prev, three, ends) of every cut answer, whose pattern needs word statistics. A ``plant`` is the
@@ -292,27 +300,28 @@ def planted_votes(query: list, answer: list, seeds: list[int], tagger: Tagger, q
     counted: Counter = Counter()
     cut: list[tuple] = []
     foreign: list[tuple[int, str, str]] = []
+    words_of: list[tuple[list[tuple], set[str]]] = []
     for i, (q, a, seed) in enumerate(zip(query, answer, seeds)):
+        asked = read_tokens(q or "")
+        words_of.append((asked, _word_set(asked)))
         for d, _, text in plant([(q, a)], random.Random(seed)):
             if not d:
                 continue
             name = f"{d}/{seed & 1}"
             if d == "other_language":
                 foreign.append((i, name, text))
-                continue
-            tokens = read_tokens(text or "")
-            f = _folded(tokens)
-            if d == "truncated":
-                cut.append((name, *last_two(tokens), *_ending_votes(text, f, tokens)))
+            elif d == "truncated":
+                tokens = read_tokens(text)
+                cut.append((name, *last_two(tokens), *_ending_votes(text, _folded(tokens), tokens)))
             elif d == "copy":
-                asked = read_tokens(q)
-                counted[name, _copy_votes(asked, f, _word_set(asked), _word_set(tokens))] += 1
+                tokens = read_tokens(text)
+                counted[name, _copy_votes(asked, _folded(tokens), words_of[i][1], _word_set(tokens))] += 1
             else:
-                counted[name, _empty_votes(f) if d == "empty" else _refusal_votes(text, f)] += 1
+                counted[name, _fixed_votes(d, text)] += 1
     a_main, langs = _tagged([text for _, _, text in foreign], tagger) if foreign else ([], [])
     for j, (i, name, text) in enumerate(foreign):
-        asked, tokens = read_tokens(query[i] or ""), read_tokens(text)
-        counted[name, _language_votes(asked, _folded(tokens), _word_set(asked), _word_set(tokens), q_main[i], a_main[j], langs[j])] += 1
+        tokens = read_tokens(text)
+        counted[name, _language_votes(words_of[i][0], _folded(tokens), words_of[i][1], _word_set(tokens), q_main[i], a_main[j], langs[j])] += 1
     return counted, cut
 
 
